@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.plans.ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where the session names none."""
@@ -24,12 +26,13 @@ class Tables:
     """Parquet tables of one run in the shared folder: they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = ship(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Writes df once and returns the written table."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").options(**options).parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the finished job
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
