@@ -11,7 +11,7 @@ grouped by union-find in the distributed form of star contraction.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,12 +141,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def grouped(
-    tables: Tables, items: DataFrame, texts: DataFrame, n: int, percent: int, residual_block: int = 64
+    tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, residual_block: int = 64
 ) -> DataFrame:
     """(id, component) of every linked item; items not listed are alone.
 
-    items: (id, n_shingles, bands), one row for each distinct set; texts: (doc_id,
-    text) with a row for each id. Pass 1 compares every colliding item with the
+    items: (id, n_shingles, bands), one row for each distinct set; sets_of gives
+    (id, shingles) of a table of ids. Pass 1 compares every colliding item with the
     most connected item of each of its buckets. A bucket that still holds several
     components then has its members outside the largest component compared with
     the others, at most residual_block such members of a bucket at a time; pairs
@@ -162,7 +162,7 @@ def grouped(
     centre = tied.groupBy("key").agg(F.max_by("id", F.struct("links", -F.col("id"))).alias("c"))
     stars = tables.write(members.join(centre, "key").select("key", "id", "n_shingles", "c"), "stars")
     tables.drop("members")
-    sets = tables.write(set_table(texts.join(stars.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), n), "sets")
+    sets = tables.write(sets_of(stars.select("id").distinct()), "sets")
 
     def pairs(a: str, b: str) -> list:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     one = tables.write(own.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min("doc_id").alias("id")), "one")
     items = own.join(one.withColumnRenamed("id", "doc_id"), ["set_lo", "set_hi", "n_shingles", "doc_id"], "left_semi")
     items = items.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "bands")
-    groups = grouped(tables, items, docs.where("doc_id is not null"), n, percent)
+    groups = grouped(tables, items, lambda ids: set_table(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), n), percent)
     whole = one.join(groups, "id", "left").select("set_lo", "set_hi", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_lo", "set_hi").join(whole, ["set_lo", "set_hi", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
