@@ -132,76 +132,72 @@ def set_table(docs: DataFrame, n: int, block_bytes: int = 1 << 20) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n_both, n_any) of pairs (a, b), counted on the full sets inside the JVM."""
+    """(a, b, n_both, n_a, n_b) of pairs (a, b), counted on the full sets inside the JVM."""
+    both = F.size(F.array_intersect("sa", "sb")).cast("long").alias("n_both")
+    return _with_sets(pairs, sets).select("a", "b", both, F.size("sa").cast("long").alias("n_a"), F.size("sb").cast("long").alias("n_b"))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    out = pairs.join(right, "b").join(left, "a").select("a", "b", both.cast("long").alias("n_both"), F.size("sa").alias("x"), F.size("sb").alias("y"))
-    return out.select("a", "b", "n_both", (F.col("x") + F.col("y") - F.col("n_both")).alias("n_any"))
+    return pairs.join(left, "a").join(right, "b")
 
 
-def grouped(
-    tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, residual_block: int = 64
-) -> DataFrame:
+def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, component) of every linked item; items not listed are alone.
 
     items: (id, n_shingles, bands), one row for each distinct set; sets_of gives
-    (id, shingles) of a table of ids. Pass 1 compares every colliding item with the
-    most connected item of each of its buckets. A bucket that still holds several
-    components then has its members outside the largest component compared with
-    the others, at most residual_block such members of a bucket at a time; pairs
-    that the triangle inequality of the Jaccard distance rules out are left out.
-    So no bucket is expanded into all of its pairs, and no possible link of a
-    bucket stays untested.
+    (id, shingles) of a table of ids. Every item is compared with the best
+    connected item (the centre) of each of its buckets. That leaves pairs of one
+    centre of which at least one, x, isn't linked with it. With A the shingles of
+    the centre that an item lacks and B those that it has beyond the centre, x and
+    y can be linked only if their differences share at least
+    ``need = deficit(x) + (1 - f) |A_y| + f |B_y|`` elements, f = percent / (100 +
+    percent), where deficit(x) > 0 is what x lacks for a link with the centre. So
+    a shared element must be among any ``|D_y| - need + 1`` elements of y's
+    difference, and x and y meet in a join on those (B first: seldom shared).
+    No bucket is expanded into its pairs, and no possible link of one is left out.
     """
-    spread = items.select("id", "n_shingles", F.explode("bands").alias("key"))
+    f, cut = percent / (100 + percent), 1 - percent / 100
+    spread = items.select("id", F.explode("bands").alias("key"))
     counts = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = tables.write(spread.join(counts, "key"), "members")
-    known = members.groupBy("id").agg(F.sum("size").alias("links"))
-    tied = members.join(known, "id")
-    centre = tied.groupBy("key").agg(F.max_by("id", F.struct("links", -F.col("id"))).alias("c"))
-    stars = tables.write(members.join(centre, "key").select("key", "id", "n_shingles", "c"), "stars")
+    tied = members.join(members.groupBy("id").agg(F.sum("size").alias("links")), "id")
+    centre = tied.groupBy("key").agg(F.max_by("id", F.struct("links", -F.col("id"))).alias("b"))
+    stars = tables.write(members.select("key", F.col("id").alias("a")).join(centre, "key").where("a <> b").select("a", "b").distinct(), "stars")
     tables.drop("members")
-    sets = tables.write(sets_of(stars.select("id").distinct()), "sets")
-
-    def pairs(a: str, b: str) -> list:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    ends = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
+    sets = tables.write(sets_of(ends), "sets")
 
-    first = stars.where("id <> c").select(*pairs("id", "c")).distinct()
-    checked = tables.write(verified(first, sets), "checked")
-    link = f"100 * n_both >= {percent} * n_any"
+    link = f"100 * n_both >= {percent} * (n_a + n_b - n_both)"
+    checked = tables.write(verified(stars, sets), "checked")
     edges = checked.where(link).select("a", "b")
     groups = tables.write(components(tables, edges, "cc0-"), "groups0")
 
-    # distance of every member to its bucket's centre, for the triangle inequality
-    distance = checked.select("a", "b", (1 - F.col("n_both") / F.col("n_any")).alias("d"))
-    keyed = stars.withColumns({"a": F.least("id", "c"), "b": F.greatest("id", "c")})
-    at = tables.write(keyed.join(distance, ["a", "b"], "left").select("key", "id", "n_shingles", F.coalesce("d", F.lit(0.0)).alias("d")), "at")
-    step, passes, cut = 0, None, (100 - percent) / 100 + 1e-9
-    while passes is None or step < passes:
-        now = at.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = now.groupBy("key", "component").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("parts > 1")
-        if passes is None:
-            main = tables.write(main, "main")
-            worst = main.agg(F.max(F.col("all") - F.col("most"))).first()[0]
-            if not worst:
-                break
-            passes = -(-worst // residual_block)
-        held = now.join(main.select("key", "main"), "key")
-        rest = held.where(f"component <> main and pmod(xxhash64(id, key), {passes}) = {step}")
-        others = held.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("d").alias("dy"), "main")
-        near = rest.join(others.drop("main"), "key").where(
-            f"component <> cy and (cy = main or id < y or pmod(xxhash64(y, key), {passes}) <> {step}) and abs(d - dy) <= {cut}"
-            f" and 100 * least(n_shingles, ny) >= {percent} * greatest(n_shingles, ny)"
-        )
-        todo = near.select(*pairs("id", "y")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        more = tables.write(verified(todo, sets), f"more{step}").where(link).select("a", "b")
-        if more.limit(1).count():
-            edges = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-            groups = tables.write(components(tables, edges, f"cc{step + 1}-"), f"groups{step + 1}")
-        step += 1
+    # members of a centre that can be linked with another member of it: distances differ by cut at most
+    near = checked.withColumn("d", 1 - F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both")))
+    near = near.withColumns({"cell": F.floor(F.col("d") / (cut + 1e-9)).cast("int"), "linked": F.expr(link)})
+    around = F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell")
+    cells = near.groupBy("b", "cell").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("loose"))
+    cells = cells.select("b", around, "n", "loose").groupBy("b", "cell").agg(F.sum("n").alias("n"), F.sum("loose").alias("loose")).where("n > 1 and loose > 0")
+    near = near.join(cells.select("b", "cell"), ["b", "cell"], "left_semi")
+    delta = F.greatest(F.lit(cut), F.col("d") - cut)
+    deficit = F.greatest(F.lit(0.0), f - (1 - delta) / (2 - delta)) * (F.col("n_a") * (percent / 100) + F.col("n_b"))
+    need = F.greatest(F.lit(1), F.ceil(deficit + (1 - f) * (F.col("n_b") - F.col("n_both")) + f * (F.col("n_a") - F.col("n_both")) - 1e-6))
+    near = near.withColumn("prefix", F.greatest(F.lit(0), F.col("n_a") + F.col("n_b") - 2 * F.col("n_both") - need + 1).cast("int"))
+    apart = F.concat(F.array_except("sa", "sb"), F.transform(F.array_except("sb", "sa"), F.bitwise_not))
+    apart = tables.write(_with_sets(near.select("a", "b", "linked", "prefix"), sets).select("a", "b", "linked", "prefix", apart.alias("apart")), "apart")
+    x = apart.where("not linked").select("b", F.col("a").alias("x"), F.explode("apart").alias("token"))
+    y = apart.where("prefix > 0").select("b", F.col("a").alias("y"), F.explode(F.slice("apart", F.lit(1), F.col("prefix"))).alias("token"))
+    todo = x.join(y, ["b", "token"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    of = groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), groups.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    todo = todo.join(of[0], "a", "left").join(of[1], "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
+    more = tables.write(verified(todo, sets), "more").where(link).select("a", "b")
+    if more.limit(1).count():
+        edges = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
+        groups = tables.write(components(tables, edges, "cc1-"), "groups1")
     tables.drop("sets")
+    tables.drop("apart")
     return groups
 
 
