@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscle.llm import _arrays as A
@@ -155,7 +156,7 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     ``need = deficit(x) + (1 - f) |A_y| + f |B_y|`` elements, f = percent / (100 +
     percent), where deficit(x) > 0 is what x lacks for a link with the centre. So
     a shared element must be among any ``|D_y| - need + 1`` elements of y's
-    difference, and x and y meet in a join on those (B first: seldom shared).
+    difference, and x and y meet in a join on those, the least shared ones first.
     No bucket is expanded into its pairs, and no possible link of one is left out.
     """
     f, cut = percent / (100 + percent), 1 - percent / 100
@@ -186,10 +187,25 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     need = F.greatest(F.lit(1), F.ceil(deficit + (1 - f) * (F.col("n_b") - F.col("n_both")) + f * (F.col("n_a") - F.col("n_both")) - 1e-6))
     near = near.withColumn("prefix", F.greatest(F.lit(0), F.col("n_a") + F.col("n_b") - 2 * F.col("n_both") - need + 1).cast("int"))
     apart = F.concat(F.array_except("sa", "sb"), F.transform(F.array_except("sb", "sa"), F.bitwise_not))
-    apart = tables.write(_with_sets(near.select("a", "b", "linked", "prefix"), sets).select("a", "b", "linked", "prefix", apart.alias("apart")), "apart")
-    x = apart.where("not linked").select("b", F.col("a").alias("x"), F.explode("apart").alias("token"))
-    y = apart.where("prefix > 0").select("b", F.col("a").alias("y"), F.explode(F.slice("apart", F.lit(1), F.col("prefix"))).alias("token"))
-    todo = x.join(y, ["b", "token"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    facts = ["a", "b", "linked", "prefix", "d", "n_a", "n_b", "n_both"]
+    apart = tables.write(_with_sets(near.select(*facts), sets).select(*facts, apart.alias("apart")), "apart")
+    # tokens of a difference in rising order of how many members of the centre have them
+    tokens = apart.select("a", "b", "linked", "prefix", F.explode("apart").alias("token"))
+    usual = tokens.groupBy("b", "token").agg(F.count("*").alias("n")).where("n > 1")
+    tokens = tokens.join(usual, ["b", "token"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    rank = F.row_number().over(W.partitionBy("b", "a").orderBy("n", "token")) - 1
+    tokens = tables.write(tokens.withColumn("rank", rank).where("n > 1 and (not linked or rank < prefix)"), "tokens")
+    kept = [F.col(c).alias(f"{c}_") for c in ("d", "n_a", "n_both")]
+    x = tokens.where("not linked").select("b", "token", F.col("a").alias("x"))
+    y = tokens.where("rank < prefix").select("b", "token", "rank", F.col("a").alias("y"))
+    met = x.join(y, ["b", "token"]).where("x <> y").groupBy("b", "x", "y").agg(F.min("rank").alias("rank"))
+    of_x = apart.select("b", F.col("a").alias("x"), *kept)
+    of_y = apart.select("b", F.col("a").alias("y"), "d", "n_a", "n_b", "n_both")
+    least = f * (F.col("n_a_") + F.col("n_b")) - F.col("n_both_") + (1 - f) * (F.col("n_b") - F.col("n_both")) + f * (F.col("n_a") - F.col("n_both"))
+    rest = F.col("n_a") + F.col("n_b") - 2 * F.col("n_both") - F.col("rank")
+    met = met.join(of_x, ["b", "x"]).join(of_y, ["b", "y"]).where((rest >= least - 1e-6) & (F.abs(F.col("d") - F.col("d_")) <= cut + 1e-9))
+    met = met.where(f"100 * least(n_a, n_a_) >= {percent} * greatest(n_a, n_a_)")
+    todo = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     of = groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), groups.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     todo = todo.join(of[0], "a", "left").join(of[1], "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
     more = tables.write(verified(todo, sets), "more").where(link).select("a", "b")
@@ -198,6 +214,7 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
         groups = tables.write(components(tables, edges, "cc1-"), "groups1")
     tables.drop("sets")
     tables.drop("apart")
+    tables.drop("tokens")
     return groups
 
 
