@@ -206,17 +206,18 @@ def _mapped(docs: DataFrame, tokenizer: str, block_bytes: int, short: bool) -> D
         bpe = _loaded(spec.value)
         for batch in batches:
             for i, j, _, _ in A.blocks(batch.column(1), block_bytes):
-                out: list[tuple] = []
-                for ids in bpe.encode_texts(batch.column(1).slice(i, j - i).to_pylist()):
-                    text = bpe.decode(ids)
-                    if short:
-                        out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()))
-                    else:
-                        out.append((ids.astype(np.int32), text))
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.string()] if short else [pa.list_(pa.int32()), pa.string()]
+                docs_ids, texts = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i).to_pylist()
+                rows = list(bpe.encode_texts(texts))
+                decoded = map(bpe.decode, rows)
+                if short:
+                    digests = [hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in rows]
+                    columns = [pa.array(list(map(len, rows)), pa.int64()), pa.array(digests, pa.string())]
+                    columns.append(pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in decoded], pa.string()))
+                else:
+                    ptr = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+                    columns = [A.list_column(np.concatenate(rows), ptr, pa.int32()), pa.array(decoded, pa.string())]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"] if short else ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, columns, kinds)], names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([docs_ids, *columns], names=["doc_id", *names])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if short else "doc_id long, ids array<int>, decoded string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -16,7 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     """The place of a public tokenizer file."""
     import public_tokenizers
 
@@ -35,7 +35,7 @@ def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_content_addressed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, size and checksum of every document in the token store, read back from its files."""
-    store = TokenStore(spark, Tables(spark, "tokens").root).write(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=0)
+    store = TokenStore(spark, Tables(spark, "tokens").root).write(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=0)
     return store.documents()
 
 
@@ -67,7 +67,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
-    return bpe.digests(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+    return bpe.digests(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def op6_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
