@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -190,21 +192,19 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     facts = ["a", "b", "linked", "prefix", "d", "n_a", "n_b", "n_both"]
     apart = tables.write(_with_sets(near.select(*facts), sets).select(*facts, apart.alias("apart")), "apart")
     # tokens of a difference in rising order of how many members of the centre have them
-    tokens = apart.select("a", "b", "linked", "prefix", F.explode("apart").alias("token"))
+    tokens = apart.select(*facts, F.explode("apart").alias("token"))
     usual = tokens.groupBy("b", "token").agg(F.count("*").alias("n")).where("n > 1")
     tokens = tokens.join(usual, ["b", "token"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     rank = F.row_number().over(W.partitionBy("b", "a").orderBy("n", "token")) - 1
     tokens = tables.write(tokens.withColumn("rank", rank).where("n > 1 and (not linked or rank < prefix)"), "tokens")
-    kept = [F.col(c).alias(f"{c}_") for c in ("d", "n_a", "n_both")]
-    x = tokens.where("not linked").select("b", "token", F.col("a").alias("x"))
-    y = tokens.where("rank < prefix").select("b", "token", "rank", F.col("a").alias("y"))
-    met = x.join(y, ["b", "token"]).where("x <> y").groupBy("b", "x", "y").agg(F.min("rank").alias("rank"))
-    of_x = apart.select("b", F.col("a").alias("x"), *kept)
-    of_y = apart.select("b", F.col("a").alias("y"), "d", "n_a", "n_b", "n_both")
+    kept = ["d", "n_a", "n_both"]
+    x = tokens.where("not linked").select("b", "token", F.col("a").alias("x"), *[F.col(c).alias(f"{c}_") for c in kept])
+    y = tokens.where("rank < prefix").select("b", "token", "rank", F.col("a").alias("y"), "n_b", *kept)
     least = f * (F.col("n_a_") + F.col("n_b")) - F.col("n_both_") + (1 - f) * (F.col("n_b") - F.col("n_both")) + f * (F.col("n_a") - F.col("n_both"))
     rest = F.col("n_a") + F.col("n_b") - 2 * F.col("n_both") - F.col("rank")
-    met = met.join(of_x, ["b", "x"]).join(of_y, ["b", "y"]).where((rest >= least - 1e-6) & (F.abs(F.col("d") - F.col("d_")) <= cut + 1e-9))
-    met = met.where(f"100 * least(n_a, n_a_) >= {percent} * greatest(n_a, n_a_)")
+    same = [x["b"] == y["b"], x["token"] == y["token"], F.col("x") != F.col("y"), rest >= least - 1e-6, F.abs(F.col("d") - F.col("d_")) <= cut + 1e-9]
+    size = F.least("n_a", "n_a_") * 100 >= F.greatest("n_a", "n_a_") * percent
+    met = x.join(y, reduce(and_, [*same, size]))
     todo = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     of = groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), groups.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     todo = todo.join(of[0], "a", "left").join(of[1], "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     one = tables.write(own.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min("doc_id").alias("id")), "one")
     items = own.join(one.withColumnRenamed("id", "doc_id"), ["set_lo", "set_hi", "n_shingles", "doc_id"], "left_semi")
     items = items.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "bands")
-    groups = grouped(tables, items, lambda ids: set_table(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), n), percent)
+    groups = grouped(tables, items, lambda ids: set_table(docs.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), n), percent)
     whole = one.join(groups, "id", "left").select("set_lo", "set_hi", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_lo", "set_hi").join(whole, ["set_lo", "set_hi", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
