@@ -30,7 +30,7 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOKS = r"""books AS (SELECT doc_id // 10 AS doc_id, string_agg('CHAPTER ' || (doc_id % 10 + 1) || E'\n\n' || coalesce(text, '') || E'\n\n* * *\n\n', '' ORDER BY doc_id) AS text
   FROM documents GROUP BY 1)"""
 LINES = r"""ls AS (SELECT doc_id, string_split(text, E'\n') AS a FROM books),
-ln AS (SELECT doc_id, CAST(i AS INTEGER) AS ln, a[i + 1] AS line FROM ls, unnest(generate_series(0, len(a) - 1)) AS t(i)),
+ln AS (SELECT doc_id, CAST(unnest(generate_series(0, len(a) - 1)) AS INTEGER) AS ln, unnest(a) AS line FROM ls),
 lines AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS off FROM ln)"""
 
 
@@ -207,9 +207,9 @@ R.add(
       list_transform(string_split(upper(substr(regexp_replace(text, '[^IVXLCDMivxlcdm]', '', 'g'), 1, 6)), ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 ELSE 0 END) AS v FROM documents)""",
 )
 _WORD = L.WORD.replace("'", "''")
-_POSTED = rf"""p AS (SELECT doc_id, a, list_transform(generate_series(1, len(a)), lambda i: a[i]) AS forms FROM (SELECT doc_id, string_split(regexp_replace(text, '({_WORD})', E'\x01\\1\x01', 'g'), E'\x01') AS a FROM books)),
-q AS (SELECT doc_id, i, a[i] AS form, sum(length(a[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(a[i]) AS pos FROM p, unnest(generate_series(1, len(a))) AS t(i)),
-post AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, lower(form) AS word FROM q WHERE i % 2 = 0)"""
+_POSTED = rf"""q AS (SELECT doc_id, unnest(a) AS form, unnest(generate_series(1, len(a))) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '({_WORD})', E'\x01\\1\x01', 'g'), E'\x01') AS a FROM books)),
+qq AS (SELECT doc_id, i, form, sum(length(form)) OVER (PARTITION BY doc_id ORDER BY i) - length(form) AS pos FROM q),
+post AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, form, lower(form) AS word FROM qq WHERE i % 2 = 0)"""
 
 
 def _posted(s: SparkSession, d: str) -> DataFrame:
@@ -225,8 +225,9 @@ R.add(
 R.add(
     "context_window",
     lambda s, d: L.postings(documents(s, d)).groupBy("doc_id").agg(F.max("pos").alias("pos")).join(documents(s, d), "doc_id").select("doc_id", "pos", T.context(F.col("text"), F.expr("pos div 2"), F.lit(5)).alias("context")),
-    rf"""WITH w AS (SELECT doc_id, text, max(pos) AS pos FROM (SELECT doc_id, text, i, sum(length(a[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(a[i]) AS pos FROM
-      (SELECT doc_id, text, string_split(regexp_replace(text, '({_WORD})', E'\x01\\1\x01', 'g'), E'\x01') AS a FROM documents), unnest(generate_series(1, len(a))) AS t(i)) WHERE i % 2 = 0 GROUP BY 1, 2)
+    rf"""WITH q AS (SELECT doc_id, unnest(a) AS form, unnest(generate_series(1, len(a))) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '({_WORD})', E'\x01\\1\x01', 'g'), E'\x01') AS a FROM documents)),
+      z AS (SELECT doc_id, i, sum(length(form)) OVER (PARTITION BY doc_id ORDER BY i) - length(form) AS pos FROM q),
+      w AS (SELECT z.doc_id, any_value(text) AS text, max(pos) AS pos FROM z JOIN documents USING (doc_id) WHERE i % 2 = 0 GROUP BY 1)
       SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN pos // 2 > 100 THEN '...' ELSE '' END || trim(regexp_replace(substr(text, CAST(greatest(pos // 2 - 100, 0) + 1 AS BIGINT), CAST(least(length(text), pos // 2 + 105) - greatest(pos // 2 - 100, 0) AS BIGINT)), '\s+', ' ', 'g'))
       || CASE WHEN pos // 2 + 105 < length(text) THEN '...' ELSE '' END AS context FROM w""",
 )
