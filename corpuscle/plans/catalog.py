@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuscle.plans import text_queries
+from corpuscle.plans import cast_queries, text_queries
 from corpuscle.plans.registry import Query
 
-_ALL = [text_queries.R]
+_ALL = [text_queries.R, cast_queries.R]
 QUERIES: dict[str, Query] = {k: q for r in _ALL for k, q in r.queries.items()}
 SQL: dict[str, str] = {k: q for r in _ALL for k, q in r.sql.items()}
