@@ -221,7 +221,9 @@ def deduplicated(
     docs = docs.drop(*added)
     tables = Tables(docs.sparkSession, "paragraphs")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = removals(tables, plain, percent, n, reach, least_words, near_words, miss)
+    gone = tables.write(removals(tables, plain, percent, n, reach, least_words, near_words, miss), "spans")
+    for name in ("units", "lines", "stars", "checked", "more"):
+        tables.drop(name)
     spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words")).alias("_spans"), F.array_sort(F.collect_set("of")).alias("linked"))
     columns = docs.columns
     joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").select(*columns, "_spans", "linked")
