@@ -23,7 +23,7 @@ from corpuscle.llm import superminhash as S
 from corpuscle.llm._spark import Tables
 
 U64 = np.uint64
-PIECE, LINE = 0, 1
+PIECE, LINE, LONGEST = 0, 1, 40
 UNIT_SCHEMA = "kind int, repeat boolean, doc_id long, word long, n_words long, lo long, hi long, n_shingles long, bands array<long>, of long"
 _ARROW = pa.schema([
     ("kind", pa.int32()), ("repeat", pa.bool_()), ("doc_id", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64()),
@@ -49,12 +49,14 @@ class Layout:
         if n > 1:
             key[1:] = A.mix(self.words[:-1] * U64(3) + self.words[1:])
         key[self.ptr[:-1][np.diff(self.ptr) > 0]] = U64(0xFFFFFFFFFFFFFFFF)
-        least = key.copy()
+        before, after = np.full(n, U64(0xFFFFFFFFFFFFFFFF)), np.full(n, U64(0xFFFFFFFFFFFFFFFF))
         for d in range(1, reach + 1):
-            least[d:] = np.minimum(least[d:], key[:-d])
-            least[:-d] = np.minimum(least[:-d], key[d:])
-        cut = (key == least) & (key != U64(0xFFFFFFFFFFFFFFFF)) | self.new_line
-        self.pieces = np.flatnonzero(cut)
+            before[d:] = np.minimum(before[d:], key[:-d])
+            after[:-d] = np.minimum(after[:-d], key[d:])
+        pieces = np.flatnonzero((key < before) & (key <= after) | self.new_line)
+        # where no word pair stands out (one word over and over), a piece ends after LONGEST words
+        parts = -(-np.diff(np.append(pieces, n)) // LONGEST)
+        self.pieces = np.repeat(pieces, parts) + LONGEST * A.ragged(np.zeros(len(parts), np.int64), parts)
 
     def digests(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of words, low, high half of a digest) of the runs of words that begin at first."""
