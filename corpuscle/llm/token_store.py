@@ -10,13 +10,13 @@ are Parquet tables, so the store lives wherever Spark can write.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,39 +26,131 @@ from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
 from corpuscle.llm import _arrays as A
-from corpuscle.llm.pretokens import PretokenIds
 
 U64 = np.uint64
 WINDOW, MEAN_BITS, LONGEST = 4, 8, 4096
-_UNEVEN = re.compile(r"\s | \s|\s\n|\n\s|[\x00\x01\x1c-\x1f\x85\xa0]|[^\x00-ӿ]")
+_OTHER_BYTES = A._byte_table(0x243F6A88)
 
 
 class ByteBpe:
-    """Ids of texts by the tokenizers library, by way of distinct space-separated parts.
+    """Ids of texts by the tokenizers library, by way of their distinct parts.
 
     A single space or line end between two visible characters always begins a
-    pre-token of the byte-level pattern, so a text without other white space can
-    be cut there. Any other text is given to the library whole.
+    pre-token of the byte-level pattern, so a text without other white space is
+    cut before each of them. Parts are told apart by two 64-bit hashes; those
+    not met before are encoded by the library, many in one text. Texts that can't
+    be cut so are given to the library whole.
     """
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, most: int = 1_000_000) -> None:
         self.tokenizer = Tokenizer.from_str(spec)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.store = PretokenIds(self._encode)
-
-    def _encode(self, parts: list[str]) -> list[list[int]]:
-        texts = ["\n" + p[1:] if p[:1] == "\0" else p[1:] if p[:1] == "\1" else " " + p for p in parts]
+        self.special = [t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes of each token; its letters stand for bytes
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their parts
+        self.check = np.zeros(0, np.uint64)
+        self.flat, self.ptr = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _even(self, text: str) -> bool:
-        return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not _UNEVEN.search(text) and not any(s in text for s in self.special)
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        rows = [("\1" + t.replace("\n", " \0")).split(" ") if t and self._even(t) else None for t in texts]
-        self.store.learn(r for r in rows if r)
-        whole = [t for t, r in zip(texts, rows, strict=True) if r is None and t]
-        others = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else iter(())
-        return [self.store.ids(r) if r else np.array(next(others).ids if t else [], dtype=np.int64) for t, r in zip(texts, rows, strict=True)]
+    def _uneven(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Which texts can't be cut at single spaces and line ends."""
+        space = (data == 32) | (data == 10)
+        odd = (data < 32) & ~space | (data == 127) | (data >= 0xD4)
+        follow = np.zeros(len(data), dtype=bool)
+        follow[:-1] = space[:-1] & space[1:] | (data[:-1] == 0xC2) & (data[1:] <= 0xA0)
+        edge = np.zeros(len(data), dtype=bool)
+        sizes = np.diff(offs)
+        edge[offs[:-1][sizes > 0]] = True
+        edge[offs[1:][sizes > 0] - 1] = True
+        bad = odd | follow | edge & space
+        for s in self.special:
+            if len(data) >= len(s):
+                hit = data[: len(data) - len(s) + 1] == s[0]
+                for k in range(1, len(s)):
+                    hit = hit & (data[k : len(data) - len(s) + 1 + k] == s[k])
+                bad[: len(hit)] |= hit
+        total = np.concatenate([[0], np.cumsum(bad)])
+        return total[offs[1:]] > total[offs[:-1]]
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """Encodes parts (bytes start to end, hashes one and two) and stores their ids."""
+        led = (data[start] == 32) | (data[start] == 10)
+        order = np.concatenate([np.flatnonzero(led), np.flatnonzero(~led)])
+        n_led, size = int(led.sum()), (end - start)[order]
+        raw = data[A.ragged(start[order], size)].tobytes()
+        ends = np.cumsum(size)
+        groups = [(a, min(a + 400, n_led)) for a in range(0, n_led, 400)] + [(k, k + 1) for k in range(n_led, len(order))]
+        encoded = self._whole([raw[ends[a] - size[a] : ends[b - 1]].decode("utf-8") for a, b in groups])
+        ids = np.fromiter((i for x in encoded for i in x), np.int64)
+        reached = np.cumsum(self.width[ids])
+        last = np.searchsorted(reached, ends)
+        if not (len(ids) and last[-1] < len(reached) and (reached[last] == ends).all()):
+            raise ValueError("tokens don't end where parts do")
+        counts = np.diff(np.concatenate([[-1], last]))
+        base = len(self.ptr) - 1
+        self.flat = np.concatenate([self.flat, ids])
+        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(counts)])
+        where = np.empty(len(order), np.int64)
+        where[order] = base + np.arange(len(order))
+        known = np.concatenate([self.known, one])
+        sort = np.argsort(known, kind="stable")
+        self.known, self.at, self.check = known[sort], np.concatenate([self.at, where])[sort], np.concatenate([self.check, two])[sort]
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, row pointer) of a block of texts."""
+        rows = len(offs) - 1
+        uneven = self._uneven(data, offs)
+        even = np.flatnonzero(~uneven & (np.diff(offs) > 0))
+        counts, pieces = np.zeros(rows, np.int64), []
+        if len(even):
+            cut = (data == 32) | (data == 10)
+            cut[offs[:-1][np.diff(offs) > 0]] = True
+            start = np.flatnonzero(cut)
+            end = np.append(start[1:], len(data))
+            row = np.searchsorted(offs, start, side="right") - 1
+            keep = ~uneven[row]
+            start, end, row = start[keep], end[keep], row[keep]
+            one, two = A.SpanHash(data)(start, end), A.SpanHash(data, _OTHER_BYTES)(start, end)
+            distinct, first, back = np.unique(one, return_index=True, return_inverse=True)
+            if (two != two[first][back]).any():
+                raise ValueError("two parts have one hash")
+            new = np.ones(len(distinct), dtype=bool)
+            if len(self.known):
+                place = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+                new = self.known[place] != distinct
+            if len(self.known) + int(new.sum()) > self.most and len(self.known):
+                self._clear()
+                new[:] = True
+            if new.any():
+                f = first[new]
+                self._learn(data, start[f], end[f], one[f], two[f])
+            place = np.searchsorted(self.known, distinct)
+            if (self.check[place] != two[first]).any():
+                raise ValueError("two parts have one hash")
+            part = self.at[place][back]
+            size = self.ptr[part + 1] - self.ptr[part]
+            pieces.append(self.flat[A.ragged(self.ptr[part], size)])
+            counts += np.bincount(row, weights=size, minlength=rows).astype(np.int64)
+        whole = np.flatnonzero(uneven)
+        ids = pieces[0] if pieces else np.zeros(0, np.int64)
+        if len(whole):
+            others = self._whole([data[offs[r] : offs[r + 1]].tobytes().decode("utf-8") for r in whole])
+            counts[whole] = [len(x) for x in others]
+            ptr = np.concatenate([[0], np.cumsum(counts)])
+            out = np.zeros(int(ptr[-1]), np.int64)
+            out[A.ragged(ptr[even], counts[even])] = ids
+            for r, x in zip(whole, others, strict=True):
+                out[ptr[r] : ptr[r + 1]] = x
+            ids = out
+        return ids, np.concatenate([[0], np.cumsum(counts)])
 
 
 @lru_cache(maxsize=2)
@@ -93,27 +185,29 @@ _STAGED = pa.schema([
 ])
 
 
+_RECIPE = pa.schema([f for f in _STAGED if f.name not in ("kind", "ids")])
+
+
 def _rows(**columns: list) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
     return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in _STAGED], schema=_STAGED)
 
 
-def _staged(docs: DataFrame, tokenizer: str, end_id: int, buckets: int) -> DataFrame:
+def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     with open(tokenizer, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, bucket, seq, total = _loaded(spec.value), TaskContext.get().partitionId(), 0, 0
-        merkle, met = hashlib.blake2b(digest_size=16), set()
+        bpe, met, packer = _loaded(spec.value), set(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for i, j, _, _ in A.blocks(batch.column(1), 4 << 20):
-                docs_ids = batch.column(0).slice(i, j - i).to_pylist()
-                encoded = bpe.ids(batch.column(1).slice(i, j - i).to_pylist())
-                sizes = np.fromiter((len(x) + 1 for x in encoded), np.int64, len(encoded))
+            for i, j, data, offs in A.blocks(batch.column(1), 4 << 20):
+                ids, ptr = bpe.encode(data, offs)
+                sizes = np.diff(ptr) + 1
                 doc_ends = np.cumsum(sizes)
                 stream = np.full(int(doc_ends[-1]), end_id, dtype="<u2")
-                for x, e in zip(encoded, doc_ends, strict=True):
-                    stream[e - 1 - len(x) : e - 1] = x
+                keep = np.ones(len(stream), dtype=bool)
+                keep[doc_ends - 1] = False
+                stream[keep] = ids
                 ends = chunk_ends(stream, doc_ends)
                 raw, a, names, fresh = stream.tobytes(), 0, [], {}
                 for b in ends.tolist():
@@ -121,32 +215,45 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int, buckets: int) -> DataF
                     name = _digest(body)
                     names.append(name)
                     if name not in met and name not in fresh:
-                        fresh[name] = body
+                        fresh[name] = packer.compress(body)
                     a = b
                 last = np.searchsorted(ends, doc_ends, side="left") + 1
                 first = np.concatenate([[0], last[:-1]])
                 lists = [names[p:q] for p, q in zip(first, last, strict=True)]
-                roots = [_digest(*x) for x in lists]
-                for r in roots:
-                    merkle.update(r)
                 starts = doc_ends - sizes
                 own_ends = [(ends[p:q] - s).astype(np.int32) for p, q, s in zip(first, last, starts, strict=True)]
                 n = j - i
-                yield _rows(kind=["recipe"] * n, bucket=[bucket] * n, seq=list(range(seq, seq + n)), doc_id=docs_ids, n_tokens=sizes.tolist(), root=roots, chunks=lists, ends=own_ends)
+                yield _rows(kind=["recipe"] * n, doc_id=batch.column(0).slice(i, n).to_pylist(), n_tokens=sizes.tolist(), root=[_digest(*x) for x in lists], chunks=lists, ends=own_ends)
                 if fresh:
                     yield _rows(kind=["chunk"] * len(fresh), root=list(fresh), ids=list(fresh.values()))
                 if len(met) < 200_000:  # names met in this task; what is missed here is made unique later
                     met.update(fresh)
-                seq, total = seq + n, total + int(doc_ends[-1])
+
+    return docs.mapInArrow(run, STAGED)
+
+
+def _ordered(recipes: DataFrame, buckets: int) -> DataFrame:
+    """Recipes in ascending doc_id order with bucket and seq, and a manifest row for each bucket (seq = -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, seq, total, merkle = TaskContext.get().partitionId(), 0, 0, hashlib.blake2b(digest_size=16)
+        for batch in batches:
+            n = batch.num_rows
+            for root in batch.column("root").to_pylist():
+                merkle.update(root)
+            total += int(np.asarray(batch.column("n_tokens")).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int32)), pa.array(np.arange(seq, seq + n)), *batch.columns], names=["bucket", "seq", *batch.schema.names])
+            seq += n
         if seq:
-            yield _rows(kind=["manifest"], bucket=[bucket], seq=[seq], n_tokens=[total], root=[merkle.digest()])
+            one = {"bucket": bucket, "seq": -1, "doc_id": seq, "n_tokens": total, "root": merkle.digest(), "chunks": None, "ends": None}
+            yield pa.RecordBatch.from_pylist([one], schema=_RECIPE)
 
-    ordered = docs.repartitionByRange(buckets, "doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, STAGED)
+    ordered = recipes.select("doc_id", "n_tokens", "root", "chunks", "ends").repartitionByRange(buckets, "doc_id").sortWithinPartitions("doc_id", "root")
+    return ordered.mapInArrow(run, "bucket int, seq long, doc_id long, n_tokens long, root binary, chunks array<binary>, ends array<int>")
 
 
 class TokenStore:
-    """Tables recipes, chunks and manifest below one path."""
+    """Tables ordered (recipes and manifest) and chunks below one path."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -161,12 +268,10 @@ class TokenStore:
         """
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         buckets = buckets or max(8, docs.rdd.getNumPartitions())
-        packed = {"compression": "zstd", "parquet.enable.dictionary": "false"}
-        _staged(docs, tokenizer, end_id, buckets).write.options(**packed).partitionBy("kind").parquet(f"{self.path}/staged")
-        self._collect_garbage()
+        packed = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+        _staged(docs, tokenizer, end_id).write.options(**packed).partitionBy("kind").parquet(f"{self.path}/staged")
         staged = self.spark.read.schema(STAGED).parquet(f"{self.path}/staged")
-        staged.where("kind = 'recipe'").select("bucket", "seq", "doc_id", "n_tokens", "root", "chunks", "ends").write.options(compression="zstd").parquet(f"{self.path}/recipes")
-        staged.where("kind = 'manifest'").select("bucket", F.col("seq").alias("n_docs"), "n_tokens", "root").write.parquet(f"{self.path}/manifest")
+        _ordered(staged.where("kind = 'recipe'"), buckets).write.options(**packed).parquet(f"{self.path}/ordered")
         self._remove("staged/kind=recipe")
         chunks = staged.where("kind = 'chunk'").select(F.col("root").alias("chunk"), "ids")
         chunks.groupBy("chunk").agg(F.first("ids").alias("ids")).write.options(**packed).parquet(f"{self.path}/chunks")
@@ -174,6 +279,13 @@ class TokenStore:
         self._collect_garbage()
         return self
 
+    def recipes(self) -> DataFrame:
+        return self.table("ordered").where("seq >= 0")
+
+    def manifest(self) -> DataFrame:
+        """(bucket, n_docs, n_tokens, root) in the order of buckets."""
+        return self.table("ordered").where("seq = -1").select("bucket", F.col("doc_id").alias("n_docs"), "n_tokens", "root")
+
     def _collect_garbage(self) -> None:
         self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of finished jobs
 
@@ -186,10 +298,11 @@ class TokenStore:
         """(chunk, n, crc) of every stored chunk, read and verified against its name; crc is of 32-bit ids."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unpack = zstandard.ZstdDecompressor().decompress
             for batch in batches:
                 names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 sizes, crcs = [], []
-                for name, body in zip(names, bodies, strict=True):
+                for name, body in zip(names, map(unpack, bodies), strict=True):
                     if _digest(body) != name:
                         raise ValueError(f"chunk {name.hex()} does not have its digest")
                     sizes.append(len(body) // 2)
@@ -210,17 +323,17 @@ class TokenStore:
         def merkle(lists: pa.Array) -> pa.Array:
             return pa.array([_digest(*x) for x in lists.to_pylist()], pa.binary())
 
-        rows = self.table("recipes").select("bucket", "seq", "chunks", "root").mapInArrow(run, "bucket int, seq long, root binary, good boolean")
+        rows = self.recipes().select("bucket", "seq", "chunks", "root").mapInArrow(run, "bucket int, seq long, root binary, good boolean")
         tops = rows.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("seq", "root"))).alias("r"), F.every("good").alias("good"))
         tops = tops.select("bucket", "good", merkle(F.transform("r", lambda x: x["root"])).alias("top"))
-        joined = self.table("manifest").join(tops, "bucket", "full").where(~F.coalesce(F.col("good") & (F.col("top") == F.col("root")), F.lit(False)))
+        joined = self.manifest().join(tops, "bucket", "full").where(~F.coalesce(F.col("good") & (F.col("top") == F.col("root")), F.lit(False)))
         return not joined.limit(1).count()
 
     def documents(self) -> DataFrame:
         """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files."""
         order = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-        offsets = self.table("manifest").select("bucket", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("offset"))
-        recipes = self.table("recipes")
+        offsets = self.manifest().select("bucket", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("offset"))
+        recipes = self.recipes()
         within = W.partitionBy("bucket").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
         places = recipes.select("bucket", "seq", "doc_id", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("before")).join(offsets, "bucket")
         parts = recipes.select("bucket", "seq", F.col("n_tokens").alias("whole"), F.explode(F.arrays_zip("chunks", "ends")).alias("x"))
@@ -234,9 +347,10 @@ class TokenStore:
 
         @arrow_udf("array<int>")
         def unpack(lists: pa.Array) -> pa.Array:
-            return pa.array([np.frombuffer(b"".join(x), "<u2").astype(np.int32) for x in lists.to_pylist()], pa.list_(pa.int32()))
+            unzip = zstandard.ZstdDecompressor().decompress
+            return pa.array([np.frombuffer(b"".join(map(unzip, x)), "<u2").astype(np.int32) for x in lists.to_pylist()], pa.list_(pa.int32()))
 
-        wanted = self.table("recipes").join(doc_ids.select("doc_id").distinct(), "doc_id")
+        wanted = self.recipes().join(doc_ids.select("doc_id").distinct(), "doc_id")
         parts = wanted.select("bucket", "seq", "doc_id", F.posexplode("chunks").alias("k", "chunk")).join(self.table("chunks"), "chunk")
         lists = parts.groupBy("bucket", "seq", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("x"))
         return lists.select("doc_id", unpack(F.transform("x", lambda x: x["ids"])).alias("ids"))
