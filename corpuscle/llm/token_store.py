@@ -42,7 +42,7 @@ class ByteBpe:
     be cut so are given to the library whole.
     """
 
-    def __init__(self, spec: str, most: int = 1_000_000) -> None:
+    def __init__(self, spec: str, most: int = 500_000) -> None:
         self.tokenizer = Tokenizer.from_str(spec)
         self.special = [t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -174,6 +174,12 @@ def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     return ends
 
 
+def _ids(packed: bytes) -> np.ndarray:
+    """The ids of a stored chunk: its low bytes, then its high bytes, packed."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(2, -1)
+    return planes[0].astype("<u2") | (planes[1].astype("<u2") << 8)
+
+
 def _digest(*parts: bytes) -> bytes:
     return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
@@ -200,7 +206,7 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, met, packer = _loaded(spec.value), set(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for i, j, data, offs in A.blocks(batch.column(1), 4 << 20):
+            for i, j, data, offs in A.blocks(batch.column(1), 2 << 20):
                 ids, ptr = bpe.encode(data, offs)
                 sizes = np.diff(ptr) + 1
                 doc_ends = np.cumsum(sizes)
@@ -210,12 +216,13 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 stream[keep] = ids
                 ends = chunk_ends(stream, doc_ends)
                 raw, a, names, fresh = stream.tobytes(), 0, [], {}
+                low, high = (stream & 255).astype(np.uint8).tobytes(), (stream >> 8).astype(np.uint8).tobytes()
                 for b in ends.tolist():
                     body = raw[2 * a : 2 * b]
                     name = _digest(body)
                     names.append(name)
                     if name not in met and name not in fresh:
-                        fresh[name] = packer.compress(body)
+                        fresh[name] = packer.compress(low[a:b] + high[a:b])
                     a = b
                 last = np.searchsorted(ends, doc_ends, side="left") + 1
                 first = np.concatenate([[0], last[:-1]])
@@ -268,7 +275,7 @@ class TokenStore:
         """
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         buckets = buckets or max(8, docs.rdd.getNumPartitions())
-        packed = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+        packed = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
         _staged(docs, tokenizer, end_id).write.options(**packed).partitionBy("kind").parquet(f"{self.path}/staged")
         staged = self.spark.read.schema(STAGED).parquet(f"{self.path}/staged")
         _ordered(staged.where("kind = 'recipe'"), buckets).write.options(**packed).parquet(f"{self.path}/ordered")
@@ -298,15 +305,14 @@ class TokenStore:
         """(chunk, n, crc) of every stored chunk, read and verified against its name; crc is of 32-bit ids."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            unpack = zstandard.ZstdDecompressor().decompress
             for batch in batches:
                 names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 sizes, crcs = [], []
-                for name, body in zip(names, map(unpack, bodies), strict=True):
-                    if _digest(body) != name:
+                for name, ids in zip(names, map(_ids, bodies), strict=True):
+                    if _digest(ids.tobytes()) != name:
                         raise ValueError(f"chunk {name.hex()} does not have its digest")
-                    sizes.append(len(body) // 2)
-                    crcs.append(zlib.crc32(np.frombuffer(body, "<u2").astype("<u4").tobytes()))
+                    sizes.append(len(ids))
+                    crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["chunk", "n", "crc"])
 
         return self.table("chunks").select("chunk", "ids").mapInArrow(run, "chunk binary, n long, crc long")
@@ -347,8 +353,7 @@ class TokenStore:
 
         @arrow_udf("array<int>")
         def unpack(lists: pa.Array) -> pa.Array:
-            unzip = zstandard.ZstdDecompressor().decompress
-            return pa.array([np.frombuffer(b"".join(map(unzip, x)), "<u2").astype(np.int32) for x in lists.to_pylist()], pa.list_(pa.int32()))
+            return pa.array([np.concatenate(list(map(_ids, x))).astype(np.int32) for x in lists.to_pylist()], pa.list_(pa.int32()))
 
         wanted = self.recipes().join(doc_ids.select("doc_id").distinct(), "doc_id")
         parts = wanted.select("bucket", "seq", "doc_id", F.posexplode("chunks").alias("k", "chunk")).join(self.table("chunks"), "chunk")
