@@ -175,23 +175,22 @@ def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
 
 
 def _ids(packed: bytes) -> np.ndarray:
-    """The ids of a stored chunk: its low bytes, then its high bytes, packed."""
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(2, -1)
-    return planes[0].astype("<u2") | (planes[1].astype("<u2") << 8)
+    """The ids of a stored chunk."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u2")
 
 
 def _digest(*parts: bytes) -> bytes:
     return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
 
-STAGED = "kind string, bucket int, seq long, doc_id long, n_tokens long, root binary, chunks array<binary>, ends array<int>, ids binary"
+STAGED = "kind string, doc_id long, n_tokens long, root binary, chunks array<binary>, ends array<int>, ids binary"
 _STAGED = pa.schema([
-    ("kind", pa.string()), ("bucket", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()),
+    ("kind", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()),
     ("chunks", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())), ("ids", pa.binary()),
 ])
 
 
-_RECIPE = pa.schema([f for f in _STAGED if f.name not in ("kind", "ids")])
+_RECIPE = pa.schema([("bucket", pa.int32()), ("seq", pa.int64()), *(f for f in _STAGED if f.name not in ("kind", "ids"))])
 
 
 def _rows(**columns: list) -> pa.RecordBatch:
@@ -216,13 +215,12 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 stream[keep] = ids
                 ends = chunk_ends(stream, doc_ends)
                 raw, a, names, fresh = stream.tobytes(), 0, [], {}
-                low, high = (stream & 255).astype(np.uint8).tobytes(), (stream >> 8).astype(np.uint8).tobytes()
                 for b in ends.tolist():
                     body = raw[2 * a : 2 * b]
                     name = _digest(body)
                     names.append(name)
                     if name not in met and name not in fresh:
-                        fresh[name] = packer.compress(low[a:b] + high[a:b])
+                        fresh[name] = packer.compress(body)
                     a = b
                 last = np.searchsorted(ends, doc_ends, side="left") + 1
                 first = np.concatenate([[0], last[:-1]])
@@ -236,7 +234,19 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 if len(met) < 200_000:  # names met in this task; what is missed here is made unique later
                     met.update(fresh)
 
-    return docs.mapInArrow(run, STAGED)
+    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            keep = []
+            for kind, root in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                keep.append(kind != "chunk" or root != last)
+                last = root if kind == "chunk" else None
+            yield batch.filter(pa.array(keep))
+
+    # a recipe goes by its document, a chunk by its name: equal chunks meet, and each is kept once
+    key = F.when(F.col("kind") == "chunk", F.xxhash64("root")).otherwise(F.xxhash64("doc_id", "n_tokens"))
+    dealt = docs.mapInArrow(run, STAGED).repartition(key).sortWithinPartitions("kind", "root")
+    return dealt.mapInArrow(unique, STAGED)
 
 
 def _ordered(recipes: DataFrame, buckets: int) -> DataFrame:
@@ -260,7 +270,7 @@ def _ordered(recipes: DataFrame, buckets: int) -> DataFrame:
 
 
 class TokenStore:
-    """Tables ordered (recipes and manifest) and chunks below one path."""
+    """Tables ordered (recipes and manifest) and parts (chunks) below one path."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -276,19 +286,21 @@ class TokenStore:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         buckets = buckets or max(8, docs.rdd.getNumPartitions())
         packed = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
-        _staged(docs, tokenizer, end_id).write.options(**packed).partitionBy("kind").parquet(f"{self.path}/staged")
-        staged = self.spark.read.schema(STAGED).parquet(f"{self.path}/staged")
-        _ordered(staged.where("kind = 'recipe'"), buckets).write.options(**packed).parquet(f"{self.path}/ordered")
-        self._remove("staged/kind=recipe")
-        chunks = staged.where("kind = 'chunk'").select(F.col("root").alias("chunk"), "ids")
-        chunks.groupBy("chunk").agg(F.first("ids").alias("ids")).write.options(**packed).parquet(f"{self.path}/chunks")
-        self._remove("staged")
+        _staged(docs, tokenizer, end_id).write.options(**packed).partitionBy("kind").parquet(f"{self.path}/parts")
+        recipes = self.spark.read.schema(STAGED).parquet(f"{self.path}/parts").where("kind = 'recipe'")
+        _ordered(recipes, buckets).write.options(**packed).parquet(f"{self.path}/ordered")
+        self._remove("parts/kind=recipe")
         self._collect_garbage()
         return self
 
     def recipes(self) -> DataFrame:
         return self.table("ordered").where("seq >= 0")
 
+    def chunks(self) -> DataFrame:
+        """(chunk, ids): every chunk by its name, once."""
+        rows = self.spark.read.schema(STAGED).parquet(f"{self.path}/parts").where("kind = 'chunk'")
+        return rows.select(F.col("root").alias("chunk"), "ids")
+
     def manifest(self) -> DataFrame:
         """(bucket, n_docs, n_tokens, root) in the order of buckets."""
         return self.table("ordered").where("seq = -1").select("bucket", F.col("doc_id").alias("n_docs"), "n_tokens", "root")
@@ -315,7 +327,7 @@ class TokenStore:
                     crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["chunk", "n", "crc"])
 
-        return self.table("chunks").select("chunk", "ids").mapInArrow(run, "chunk binary, n long, crc long")
+        return self.chunks().mapInArrow(run, "chunk binary, n long, crc long")
 
     def verify(self) -> bool:
         """If every recipe has its digest and every manifest row is that of its recipes in order."""
@@ -356,7 +368,7 @@ class TokenStore:
             return pa.array([np.concatenate(list(map(_ids, x))).astype(np.int32) for x in lists.to_pylist()], pa.list_(pa.int32()))
 
         wanted = self.recipes().join(doc_ids.select("doc_id").distinct(), "doc_id")
-        parts = wanted.select("bucket", "seq", "doc_id", F.posexplode("chunks").alias("k", "chunk")).join(self.table("chunks"), "chunk")
+        parts = wanted.select("bucket", "seq", "doc_id", F.posexplode("chunks").alias("k", "chunk")).join(self.chunks(), "chunk")
         lists = parts.groupBy("bucket", "seq", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("x"))
         return lists.select("doc_id", unpack(F.transform("x", lambda x: x["ids"])).alias("ids"))
 
