@@ -254,10 +254,15 @@ R.add(
     CASE WHEN m > f THEN 'male' WHEN f > m THEN 'female' ELSE 'unknown' END AS gender FROM (SELECT *, (row_number() OVER w - 1) / greatest(count(*) OVER (PARTITION BY conv_id) - 1, 1) AS p, lag(role, 1) OVER w AS before, lag(role, 2) OVER w AS before_that,
     len(regexp_extract_all(text, '(?i)\b(he|him|his)\b')) AS m, len(regexp_extract_all(text, '(?i)\b(she|her|hers)\b')) AS f FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""",
 )
-_SAID = F.concat(F.col("text"), F.lit(' "And then," he '), _pick(D.SPEECH_VERBS, "doc_id"), F.lit(". \"Why not?\" asked Ann."))
+
+
+def _said() -> Column:
+    return F.concat(F.col("text"), F.lit(' "And then," he '), _pick(D.SPEECH_VERBS, "doc_id"), F.lit(". \"Why not?\" asked Ann."))
+
+
 R.add(
     "dialogue_turns",
-    lambda s, d: D.quotes(documents(s, d).select("doc_id", _SAID.alias("text"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("form")).alias("size"), F.min("pos").alias("first_pos")),
+    lambda s, d: D.quotes(documents(s, d).select("doc_id", _said().alias("text"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("form")).alias("size"), F.min("pos").alias("first_pos")),
     f"""WITH t AS (SELECT doc_id, text || ' "And then," he ' || {_sql_list(D.SPEECH_VERBS)}[1 + doc_id % {len(D.SPEECH_VERBS)}] || '. "Why not?" asked Ann.' AS text FROM documents), q AS (SELECT doc_id, text, regexp_extract_all(text, '“[^”]{{3,}}”|"[^"]{{3,}}"') AS a FROM t)
     SELECT doc_id, len(a) AS n, CAST(list_sum(list_transform(a, lambda x: length(x))) AS BIGINT) AS size, CAST(instr(text, a[1]) - 1 AS INTEGER) AS first_pos FROM q WHERE len(a) > 0""",
 )
@@ -271,8 +276,13 @@ R.add(
     lambda s, d: D.sentences(documents(s, d)).select("doc_id", "k", D.statement_score(F.concat("sentence", F.when(F.col("k") % 3 == 0, " helps his brother, a cruel man").otherwise(""))).alias("score")),
     None,
 )
-_IDENTITY = F.concat(F.lit("Ann is later known as Eve. Bob, aka Carl, ran. Dora's real name is Dora. "), F.col("text"))
-R.add("identity_statements", lambda s, d: D.identity_statements(documents(s, d).select("doc_id", _IDENTITY.alias("text"))))
+
+
+def _identity() -> Column:
+    return F.concat(F.lit("Ann is later known as Eve. Bob, aka Carl, ran. Dora's real name is Dora. "), F.col("text"))
+
+
+R.add("identity_statements", lambda s, d: D.identity_statements(documents(s, d).select("doc_id", _identity().alias("text"))))
 R.add(
     "narrator_density",
     lambda s, d: D.narrator_density(documents(s, d).select("doc_id", F.replace(F.col("text"), F.lit(" a "), F.lit(" I ")).alias("text"))),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
@@ -81,10 +81,15 @@ R.add(
     lambda s, d: _replies(s, d).select("id", F.from_json("reply", "valid boolean, confidence double, words int").alias("x"), "error").select("id", "x.valid", "x.confidence", "error"),
     "SELECT doc_id AS id, length(text) >= 40 AS valid, round(least(1.0, length(text) / 1000), 3)::DOUBLE AS confidence, NULL::VARCHAR AS error FROM documents",
 )
-_BROKEN = F.concat(F.lit('Sure! ```json\n{id: '), F.col("doc_id").cast("string"), F.lit(', "ok": True, "n": None,}\n``` done'))
+
+
+def _broken() -> Column:
+    return F.concat(F.lit('Sure! ```json\n{id: '), F.col("doc_id").cast("string"), F.lit(', "ok": True, "n": None,}\n``` done'))
+
+
 R.add(
     "json_repair",
-    lambda s, d: documents(s, d).select("doc_id", F.from_json(T.json_candidate(_BROKEN), "id long, ok boolean, n int").alias("x")).select("doc_id", "x.id", "x.ok", "x.n"),
+    lambda s, d: documents(s, d).select("doc_id", F.from_json(T.json_candidate(_broken()), "id long, ok boolean, n int").alias("x")).select("doc_id", "x.id", "x.ok", "x.n"),
     "SELECT doc_id, doc_id AS id, true AS ok, NULL::INTEGER AS n FROM documents",
 )
 R.add(

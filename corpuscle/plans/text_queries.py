@@ -45,8 +45,9 @@ def _sql(out: str, damage: str = "text") -> str:
     return f"SELECT doc_id, md5({out}) AS \"out\", CAST(length(t) AS INTEGER) AS n_before, CAST(length({out}) AS INTEGER) AS n_after FROM (SELECT doc_id, {damage} AS t FROM documents)"
 
 
-t = F.col("t")
-_SPACED = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(",  \t")), F.lit(". "), F.lit(". \r\n\r\n\n\n  "))
+def _spaced() -> Column:
+    return F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(",  \t")), F.lit(". "), F.lit(". \r\n\r\n\n\n  "))
+
 
 R.add(
     "word_frequency",
@@ -60,7 +61,7 @@ R.add(
 )
 R.add(
     "normalize_text",
-    lambda s, d: _by_text(T.normalized(t), s, d, _SPACED),
+    lambda s, d: _by_text(T.normalized(F.col("t")), s, d, _spaced()),
     _sql(
         r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', E'\n', 'g'), '\n{3,}', E'\n\n', 'g'), '[ \t]+\n', E'\n', 'g'), '[ \t]+$', '', 'g'), '([^ \t\n])[ \t]+', '\1 ', 'g'), '^\s+|\s+$', '', 'g')",
         r"replace(replace(text, ', ', E',  \t'), '. ', E'. \r\n\r\n\n\n  ')",
@@ -71,10 +72,15 @@ R.add(
     lambda s, d: documents(s, d).select("doc_id", T.clean_title(F.concat(F.lit("\ufeff "), F.substring("text", 1, 30), F.when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(".epub"))).alias("title")),
     r"SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(' ' || substr(text, 1, 30) || CASE WHEN doc_id % 2 = 0 THEN '.PDF' ELSE '.epub' END, '(?i)\.(pdf|docx|epub|txt)$', ''), '\s+', ' ', 'g')), '') AS title FROM documents",
 )
-_MARKED = F.concat(F.lit("Licence text\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n"), F.col("text"), F.lit("\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\nMore licence"))
+
+
+def _marked() -> Column:
+    return F.concat(F.lit("Licence text\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n"), F.col("text"), F.lit("\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\nMore licence"))
+
+
 R.add(
     "strip_boilerplate",
-    lambda s, d: _by_text(T.without_boilerplate(t), s, d, _MARKED),
+    lambda s, d: _by_text(T.without_boilerplate(F.col("t")), s, d, _marked()),
     _sql(
         r"regexp_replace(regexp_replace(t, '(?is)\*\*\*\s*END\s+OF\s+(THE\s+)?PROJECT\s+GUTENBERG\s+EBOOK.*?\*\*\*.*$', ''), '(?is)^.*?\*\*\*\s*START\s+OF\s+(THE\s+)?PROJECT\s+GUTENBERG\s+EBOOK[^\n]*?\*\*\*', '')",
         r"E'Licence text\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n' || text || E'\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\nMore licence'",
@@ -82,17 +88,17 @@ R.add(
 )
 R.add(
     "refine_characters",
-    lambda s, d: _by_text(T.plain_characters(t), s, d, F.concat(F.replace(F.col("text"), F.lit(", "), F.lit(",\u00a0")), F.lit("\x07 a\u2013b"))),
+    lambda s, d: _by_text(T.plain_characters(F.col("t")), s, d, F.concat(F.replace(F.col("text"), F.lit(", "), F.lit(",\u00a0")), F.lit("\x07 a\u2013b"))),
     _sql(r"regexp_replace(translate(t, chr(160) || chr(8239) || chr(8199) || chr(8201) || chr(8202) || chr(8208) || chr(8209) || chr(8210) || chr(8211), '     ----'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')", "replace(text, ', ', ',' || chr(160)) || chr(7) || ' a' || chr(8211) || 'b'"),
 )
 R.add(
     "dehyphenate",
-    lambda s, d: _by_text(T.dehyphenated(t), s, d, F.regexp_replace("text", r" ([a-z]{3})([a-z]{3}) ", " $1-\n$2 ")),
+    lambda s, d: _by_text(T.dehyphenated(F.col("t")), s, d, F.regexp_replace("text", r" ([a-z]{3})([a-z]{3}) ", " $1-\n$2 ")),
     _sql(r"regexp_replace(t, '\b([a-zA-Z]{2,})-\s*\n\s*([a-zA-Z]{2,})\b', '\1\2', 'g')", r"regexp_replace(text, ' ([a-z]{3})([a-z]{3}) ', E' \\1-\n\\2 ', 'g')"),
 )
 R.add(
     "rejoin_split_words",
-    lambda s, d: _by_text(T.rejoined(t), s, d, F.regexp_replace("text", r" ([a-z]{3})([a-z]{3}) ", " $1\n$2 ")),
+    lambda s, d: _by_text(T.rejoined(F.col("t")), s, d, F.regexp_replace("text", r" ([a-z]{3})([a-z]{3}) ", " $1\n$2 ")),
     _sql(r"regexp_replace(t, '\b([A-Z]?[a-z]{2,})\n[ \t]*([a-z]{2,})\b', '\1\2', 'g')", r"regexp_replace(text, ' ([a-z]{3})([a-z]{3}) ', E' \\1\n\\2 ', 'g')"),
 )
 
@@ -106,7 +112,7 @@ def _replaced(source: str, pairs: list[tuple[str, str]]) -> str:
 _FORMS = [(form(a), form(b)) for a, b in T.SUBSTITUTIONS.items() for form in (str.lower, str.capitalize, str.upper)]
 R.add(
     "ocr_substitutions",
-    lambda s, d: _by_text(T.substituted(t), s, d, F.replace(F.replace(F.col("text"), F.lit("the"), F.lit("tlie")), F.lit("With"), F.lit("Witli"))),
+    lambda s, d: _by_text(T.substituted(F.col("t")), s, d, F.replace(F.replace(F.col("text"), F.lit("the"), F.lit("tlie")), F.lit("With"), F.lit("Witli"))),
     "SELECT doc_id, md5(o) AS \"out\", CAST(length(t) AS INTEGER) AS n_before, CAST(length(o) AS INTEGER) AS n_after FROM (SELECT doc_id, t, list_reduce(list_prepend({'a': '', 'b': t}, ["
     + ", ".join(f"{{'a': '{a}', 'b': '{b}'}}" for a, b in _FORMS)
     + "]), lambda x, y: {'a': '', 'b': replace(x.b, y.a, y.b)}).b AS o FROM (SELECT doc_id, replace(replace(text, 'the', 'tlie'), 'With', 'Witli') AS t FROM documents))",
@@ -119,7 +125,7 @@ R.add(
 )
 R.add(
     "ligatures",
-    lambda s, d: _by_text(T.ligatures_joined(t), s, d, F.replace(F.replace(F.col("text"), F.lit("ea"), F.lit("f i")), F.lit("ou"), F.lit("f l"))),
+    lambda s, d: _by_text(T.ligatures_joined(F.col("t")), s, d, F.replace(F.replace(F.col("text"), F.lit("ea"), F.lit("f i")), F.lit("ou"), F.lit("f l"))),
     _sql(
         r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\bf\s+f\s+i', 'ffi', 'g'), '\bf\s+f\s+l', 'ffl', 'g'), '([a-z]{2,})f\s+i([a-z])', '\1fi\2', 'g'), '([a-z]{2,})f\s+l([a-z])', '\1fl\2', 'g'), '([a-z]{2,})f\s+f([a-z])', '\1ff\2', 'g')",
         "replace(replace(text, 'ea', 'f i'), 'ou', 'f l')",
@@ -127,7 +133,7 @@ R.add(
 )
 R.add(
     "glyphs",
-    lambda s, d: _by_text(T.glyphs_spelled(t), s, d, F.concat(F.replace(F.col("text"), F.lit("th"), F.lit("\ufb01")), F.lit("\n 12 \nx"))),
+    lambda s, d: _by_text(T.glyphs_spelled(F.col("t")), s, d, F.concat(F.replace(F.col("text"), F.lit("th"), F.lit("\ufb01")), F.lit("\n 12 \nx"))),
     _sql(r"regexp_replace(replace(replace(replace(replace(replace(t, chr(64256), 'ff'), chr(64257), 'fi'), chr(64258), 'fl'), chr(64259), 'ffi'), chr(64260), 'ffl'), '(?m)^[ \t]*\d+[ \t]*$\n?', '', 'g')", r"replace(text, 'th', chr(64257)) || E'\n 12 \nx'"),
 )
 R.add(
@@ -141,7 +147,8 @@ R.add(
     "spacing_gate",
     lambda s, d: documents(s, d).select("doc_id", T.needs_spacing(F.when(F.col("doc_id") % 2 == 0, F.replace(F.col("text"), F.lit(" th"), F.lit("Th"))).otherwise(F.lit("it is so. it was up. she is ill")), 10_000).alias("needed")),
     rf"""SELECT doc_id, coalesce(len(list_filter(w, lambda x: regexp_matches(x, '[a-z][A-Z]') OR (length(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= 8 AND (
-      regexp_matches(lower(regexp_replace(x, '[^A-Za-z]', '', 'g')), '^({_KNOWN})[a-z]{{3,}}') OR regexp_matches(lower(regexp_replace(x, '[^A-Za-z]', '', 'g')), '[a-z](of|my)[a-z]'))))) / nullif(len(w), 0) > 0.05, false) AS needed
+      regexp_matches(lower(regexp_replace(x, '[^A-Za-z]', '', 'g')), '^({_KNOWN})[a-z]{{3,}}') OR regexp_matches(regexp_replace(x, '[^A-Za-z]', '', 'g'), '[a-z][A-Z]')
+      OR regexp_matches(lower(regexp_replace(x, '[^A-Za-z]', '', 'g')), '[a-z](of|my)[a-z]'))))) / nullif(len(w), 0) > 0.05, false) AS needed
       FROM (SELECT doc_id, list_filter(regexp_split_to_array(substr(CASE WHEN doc_id % 2 = 0 THEN replace(text, ' th', 'Th') ELSE 'it is so. it was up. she is ill' END, 1, 10000), '\s+'), lambda q: q <> '') AS w FROM documents)""",
 )
 R.add(
