@@ -8,6 +8,8 @@ a single longer text forms a block of its own.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -173,3 +175,13 @@ def list_column(values: np.ndarray, ptr: np.ndarray, kind: pa.DataType) -> pa.Ar
 def signed(values: np.ndarray) -> np.ndarray:
     """uint64 bits as int64, for Spark's LONG."""
     return values.view(np.int64)
+
+
+def release() -> None:
+    """Gives memory back to the system at the end of a task: idle Python workers share the executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with this C library
+        pass

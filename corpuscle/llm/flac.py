@@ -420,6 +420,7 @@ def to_media(docs: DataFrame) -> DataFrame:
             for i, j, payload, offs, size in padded(batch.column(1)):
                 streams, _ = encode(payload, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(streams, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        A.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 

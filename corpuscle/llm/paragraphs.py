@@ -68,19 +68,55 @@ class Layout:
         return size, *(A.mix(s[ends] - s[first]) for s in sums)
 
 
+def _sorted_units(parts: list[tuple], keys: list[np.ndarray], bands: int) -> Iterator[pa.RecordBatch]:
+    """Candidates (the first of each digest) and repeats of the units gathered so far."""
+    kind, doc, word, size, lo, hi, sizes, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((word, doc, hi, lo, kind))
+    kind, doc, word, size, lo, hi, sizes, key = (x[order] for x in (kind, doc, word, size, lo, hi, sizes, key))
+    fresh = np.ones(len(kind), dtype=bool)
+    fresh[1:] = (kind[1:] != kind[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    of = doc[np.maximum.accumulate(np.where(fresh, np.arange(len(kind)), 0))]
+    at = np.flatnonzero(fresh)
+    banded = key[at][key[at] >= 0]
+    values = np.concatenate(keys)[banded].reshape(-1) if len(banded) else np.zeros(0, np.uint64)
+    bptr = np.concatenate([[0], np.cumsum(np.where(key[at] >= 0, bands, 0))])
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(kind[at], pa.int32()), pa.array(np.zeros(len(at), bool)), pa.array(doc[at]), pa.array(word[at]), pa.array(size[at]),
+            pa.array(A.signed(lo[at])), pa.array(A.signed(hi[at])), pa.array(sizes[at]), A.list_column(A.signed(values), bptr, pa.int64()), pa.array(doc[at]),
+        ],
+        schema=_ARROW,
+    )
+    doc, word, size, of = doc[~fresh], word[~fresh], size[~fresh], of[~fresh]
+    if len(doc):  # adjoining repeats of one document and one source as one row
+        order = np.lexsort((word, of, doc))
+        doc, word, size, of = doc[order], word[order], size[order], of[order]
+        head = np.ones(len(doc), dtype=bool)
+        head[1:] = (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (word[1:] != word[:-1] + size[:-1])
+        at = np.flatnonzero(head)
+        none = np.zeros(len(at), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(none, pa.int32()), pa.array(np.ones(len(at), bool)), pa.array(doc[at]), pa.array(word[at]), pa.array(np.add.reduceat(size, at)),
+                pa.array(none), pa.array(none), pa.array(none), A.list_column(none[:0], np.zeros(len(at) + 1, np.int64), pa.int64()), pa.array(of[at]),
+            ],
+            schema=_ARROW,
+        )
+
+
 def units(docs: DataFrame, reach: int, least_words: int, near_words: int, n: int, bands: int, rows: int) -> DataFrame:
     """Pieces and lines of (doc_id, text) with digests, and band keys of lines.
 
-    Within an Arrow batch only the first occurrence of a digest is a candidate;
+    Within some hundred thousand units only the first occurrence of a digest is a candidate;
     the others are marked as repeats at once, which keeps a hot passage to one
-    candidate row a batch.
+    candidate row for so many units.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0).cast(pa.int64()).fill_null(-1))
             known = np.asarray(batch.column(0).is_valid())
-            parts: list[list[np.ndarray]] = []
+            parts, keys, held, n_keys = [], [], 0, 0
             for i, j, data, offs in A.blocks(batch.column(1), 1 << 20):
                 own = Layout(data, offs, reach)
                 row = A.row_of(own.ptr)
@@ -88,50 +124,22 @@ def units(docs: DataFrame, reach: int, least_words: int, near_words: int, n: int
                     size, lo, hi = own.digests(first)
                     keep = (size >= least_words) & known[i:j][row[first]]
                     at, size, lo, hi = first[keep], size[keep], lo[keep], hi[keep]
-                    long = size >= near_words if kind == LINE else np.zeros(len(at), dtype=bool)
-                    keys, sizes = np.zeros((len(at), bands), np.uint64), np.zeros(len(at), np.int64)
-                    if long.any():
+                    key, sizes = np.full(len(at), -1), np.zeros(len(at), np.int64)
+                    long = np.flatnonzero(size >= near_words) if kind == LINE else []
+                    if len(long):
                         w = own.words[A.ragged(at[long], size[long])]
                         values, vptr = A.distinct(*A.shingles(w, np.concatenate([[0], np.cumsum(size[long])]), n))
-                        keys[long] = S.band_keys(S.signatures(values, vptr, bands * rows), bands, rows)
-                        sizes[long] = np.diff(vptr)
-                    parts.append([np.full(len(at), kind), ids[i:j][row[at]], at - own.ptr[row[at]], size, lo, hi, sizes, keys])
-            if not parts:
-                continue
-            kind, doc, word, size, lo, hi, sizes, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((word, doc, hi, lo, kind))
-            kind, doc, word, size, lo, hi, sizes, keys = (x[order] for x in (kind, doc, word, size, lo, hi, sizes, keys))
-            fresh = np.ones(len(kind), dtype=bool)
-            fresh[1:] = (kind[1:] != kind[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            of = doc[np.maximum.accumulate(np.where(fresh, np.arange(len(kind)), 0))]
-            again = ~fresh
-            at = np.flatnonzero(fresh)
-            with_bands = sizes[at] > 0
-            bptr = np.concatenate([[0], np.cumsum(np.where(with_bands, bands, 0))])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(kind[at], pa.int32()), pa.array(np.zeros(len(at), bool)), pa.array(doc[at]), pa.array(word[at]), pa.array(size[at]),
-                    pa.array(A.signed(lo[at])), pa.array(A.signed(hi[at])), pa.array(sizes[at]),
-                    A.list_column(A.signed(keys[at][with_bands].reshape(-1)), bptr, pa.int64()), pa.array(doc[at]),
-                ],
-                schema=_ARROW,
-            )
-            doc, word, size, of = doc[again], word[again], size[again], of[again]
-            if len(doc):  # adjoining repeats of one document and one source as one row
-                order = np.lexsort((word, of, doc))
-                doc, word, size, of = doc[order], word[order], size[order], of[order]
-                head = np.ones(len(doc), dtype=bool)
-                head[1:] = (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (word[1:] != word[:-1] + size[:-1])
-                at = np.flatnonzero(head)
-                total = np.add.reduceat(size, at)
-                none = np.zeros(len(at), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(none, pa.int32()), pa.array(np.ones(len(at), bool)), pa.array(doc[at]), pa.array(word[at]), pa.array(total),
-                        pa.array(none), pa.array(none), pa.array(none), A.list_column(none[:0], np.zeros(len(at) + 1, np.int64), pa.int64()), pa.array(of[at]),
-                    ],
-                    schema=_ARROW,
-                )
+                        keys.append(S.band_keys(S.signatures(values, vptr, bands * rows), bands, rows))
+                        key[long], sizes[long] = n_keys + np.arange(len(long)), np.diff(vptr)
+                        n_keys += len(long)
+                    parts.append((np.full(len(at), kind, np.int8), ids[i:j][row[at]], at - own.ptr[row[at]], size, lo, hi, sizes, key))
+                    held += len(at)
+                if held >= 150_000:  # bounds the memory of a task, whatever the size of Arrow batches
+                    yield from _sorted_units(parts, keys, bands)
+                    parts, keys, held, n_keys = [], [], 0, 0
+            if held:
+                yield from _sorted_units(parts, keys, bands)
+        A.release()
 
     return docs.mapInArrow(run, UNIT_SCHEMA)
 

@@ -118,6 +118,7 @@ def signature_table(docs: DataFrame, n: int, bands: int, rows: int, block_bytes:
                     ],
                     names=["doc_id", "n_shingles", "set_lo", "set_hi", "bands"],
                 )
+        A.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE_SCHEMA)
 

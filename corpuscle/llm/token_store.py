@@ -233,6 +233,7 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     yield _rows(kind=["chunk"] * len(fresh), root=list(fresh), ids=list(fresh.values()))
                 if len(met) < 200_000:  # names met in this task; what is missed here is made unique later
                     met.update(fresh)
+        A.release()
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
