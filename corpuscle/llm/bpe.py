@@ -184,7 +184,7 @@ def _loaded(spec: str) -> WordBpe:
     return WordBpe(spec)
 
 
-def encode(docs: DataFrame, tokenizer: str, block_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, block_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, ids, decoded) of every whole text by the tokenizer file at that path of the driver.
 
     A null or empty text has no ids. Rows are independent: repeated ids and rows
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, tokenizer: str, block_bytes: int = 4 << 20) -> DataF
     return _mapped(docs, tokenizer, block_bytes, False)
 
 
-def digests(docs: DataFrame, tokenizer: str, block_bytes: int = 4 << 20) -> DataFrame:
+def digests(docs: DataFrame, tokenizer: str, block_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, with digests in place of ids and text."""
     return _mapped(docs, tokenizer, block_bytes, True)
 
@@ -218,6 +218,7 @@ def _mapped(docs: DataFrame, tokenizer: str, block_bytes: int, short: bool) -> D
                     columns = [A.list_column(np.concatenate(rows), ptr, pa.int32()), pa.array(decoded, pa.string())]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"] if short else ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([docs_ids, *columns], names=["doc_id", *names])
+        A.release()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if short else "doc_id long, ids array<int>, decoded string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

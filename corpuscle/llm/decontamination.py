@@ -74,7 +74,7 @@ class Block:
         order = np.lexsort((self.at_word, counts[self.at_gram], self.at_item))
         sizes = np.bincount(self.at_item, minlength=len(self.ids))
         rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+        rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         keep = rank < np.maximum(least, np.ceil(sizes * share))[self.at_item]
         return keep
 
@@ -123,6 +123,7 @@ def _count(docs: DataFrame, block: Block) -> np.ndarray:
                 at, gram = own.found(grams)
                 row = np.searchsorted(gptr, at, side="right") - 1
                 total += np.bincount(np.unique(row * len(total) + gram) % max(1, len(total)), minlength=len(total))
+        A.release()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
 
@@ -184,7 +185,7 @@ def leaks(
     several passages of one document that match an item, the best is returned
     (ties: the first). Null or empty texts match nothing; items without words and
     items with a null id are no items; an item shorter than n words is one seed.
-    Repeated documents give a row each. Byte offsets are into the text's UTF-8.
+    Rows that repeat a doc_id are one document. Byte offsets are into the text's UTF-8.
     Other columns of either table are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")

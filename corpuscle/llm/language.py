@@ -136,6 +136,7 @@ def fit(
             for index, _, _ in feature_counts(batch.column(0)):
                 df[index] += 1
                 n += 1
+        A.release()
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["feature", "n"])
 

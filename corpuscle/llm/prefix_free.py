@@ -99,6 +99,7 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
             doc, start, n = _joined(doc[b], start[b], n[b])
             none = np.zeros(len(doc), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), bool)), *map(pa.array, (none, none, doc, start, n))], names=names)
+        A.release()
 
     return docs.mapInArrow(run, PARSE_SCHEMA)
 

@@ -12,7 +12,7 @@ from corpuscle.llm import _arrays as A
 class PretokenIds:
     """A bounded store of the ids of pre-tokens; encode gets those that are missing, all at once."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 250_000) -> None:
         self.encode, self.most = encode, most
         self._clear()
 
