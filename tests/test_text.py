@@ -74,3 +74,26 @@ def test_glossary_takes_the_first_form_with_three_lines(spark):
     docs = spark.createDataFrame([(1, text), (2, "Only: one entry of this kind")], "doc_id long, text string")
     rows = lines.glossary(docs).collect()
     assert sorted(r["term"] for r in rows) == ["Aardvark", "Baroque", "Cadence", "Django"] and {r["method"] for r in rows} == {"colon"}
+
+
+def test_kept_apart_replaces_by_the_better(spark):
+    from corpuscle.operators import mentions
+
+    rows = [(1, 0, 0.5), (1, 40, 0.9), (1, 80, 0.1), (1, 150, 0.2), (2, 5, 0.3)]
+    got = sorted(tuple(r) for r in mentions.kept_apart(spark.createDataFrame(rows, "doc_id long, pos long, score double"), 60).collect())
+    assert got == [(1, 40, 0.9), (1, 150, 0.2), (2, 5, 0.3)]
+
+
+def test_mentions_take_the_longest_name(spark):
+    from corpuscle.operators import mentions
+
+    docs = spark.createDataFrame([(1, "Mr. Wilson met George\nWilson; Wilsons are not him. GEORGE!"), (2, None)], "doc_id long, text string")
+    names = spark.createDataFrame([(1, 1, "George Wilson"), (1, 2, "Wilson"), (1, 3, "George"), (1, 4, ""), (2, 1, "x")], "doc_id long, id long, alias string")
+    assert sorted((r["pos"], r["id"]) for r in mentions.mentions(docs, names).collect()) == [(4, 2), (15, 1), (51, 3)]
+
+
+def test_similarity_is_that_of_matching_blocks(spark):
+    from corpuscle.operators import mentions
+
+    row = spark.createDataFrame([("Jay Gatsby", "Gatsby", None)], "a string, b string, c string").select(mentions.similarity("a", "b").alias("x"), mentions.similarity("a", "c").alias("y")).first()
+    assert abs(row["x"] - 0.75) < 1e-9 and row["y"] == 0.0
