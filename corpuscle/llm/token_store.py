@@ -30,6 +30,8 @@ from corpuscle.llm import _arrays as A
 U64 = np.uint64
 WINDOW, MEAN_BITS, LONGEST = 4, 8, 4096
 _OTHER_BYTES = A._byte_table(0x243F6A88)
+#: What each id adds to the rolling hash.
+_ROLL = A.mix(np.arange(1, 65537, dtype=np.uint64) * A.GOLDEN)
 
 
 class ByteBpe:
@@ -42,7 +44,7 @@ class ByteBpe:
     be cut so are given to the library whole.
     """
 
-    def __init__(self, spec: str, most: int = 500_000) -> None:
+    def __init__(self, spec: str, most: int = 1_200_000) -> None:
         self.tokenizer = Tokenizer.from_str(spec)
         self.special = [t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -100,9 +102,8 @@ class ByteBpe:
         self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(counts)])
         where = np.empty(len(order), np.int64)
         where[order] = base + np.arange(len(order))
-        known = np.concatenate([self.known, one])
-        sort = np.argsort(known, kind="stable")
-        self.known, self.at, self.check = known[sort], np.concatenate([self.at, where])[sort], np.concatenate([self.check, two])[sort]
+        place = np.searchsorted(self.known, one)  # one comes in order
+        self.known, self.at, self.check = np.insert(self.known, place, one), np.insert(self.at, place, where), np.insert(self.check, place, two)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, row pointer) of a block of texts."""
@@ -160,10 +161,10 @@ def _loaded(spec: str) -> ByteBpe:
 
 def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     """Where chunks end in a stream of ids: by content, at the end of documents, and after LONGEST ids."""
-    h = np.zeros(len(ids), dtype=np.uint64)
-    x = ids.astype(np.uint64)
-    for k in range(WINDOW):
-        h[k:] += A.mix(x[: len(x) - k] + U64(k + 1)) if k else A.mix(x + U64(1))
+    x = _ROLL[ids]
+    h = x.copy()
+    for k in range(1, WINDOW):
+        h[k:] += x[: len(x) - k] * U64(2 * k + 1)
     cut = np.flatnonzero((A.mix(h) >> U64(64 - MEAN_BITS)) == 0) + 1
     ends = np.unique(np.concatenate([cut, doc_ends]))
     ends = ends[ends > 0]
@@ -236,18 +237,18 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         A.release()
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        names: set[bytes] = set()  # those of one partition
         for batch in batches:
             keep = []
             for kind, root in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                keep.append(kind != "chunk" or root != last)
-                last = root if kind == "chunk" else None
-            yield batch.filter(pa.array(keep))
+                keep.append(kind != "chunk" or root not in names)
+                if kind == "chunk":
+                    names.add(root)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     # a recipe goes by its document, a chunk by its name: equal chunks meet, and each is kept once
     key = F.when(F.col("kind") == "chunk", F.xxhash64("root")).otherwise(F.xxhash64("doc_id", "n_tokens"))
-    dealt = docs.mapInArrow(run, STAGED).repartition(key).sortWithinPartitions("kind", "root")
-    return dealt.mapInArrow(unique, STAGED)
+    return docs.mapInArrow(run, STAGED).repartition(key).mapInArrow(unique, STAGED)
 
 
 def _ordered(recipes: DataFrame, buckets: int) -> DataFrame:
@@ -287,10 +288,9 @@ class TokenStore:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         buckets = buckets or max(8, docs.rdd.getNumPartitions())
         packed = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
-        _staged(docs, tokenizer, end_id).write.options(**packed).partitionBy("kind").parquet(f"{self.path}/parts")
+        _staged(docs, tokenizer, end_id).write.options(**packed).parquet(f"{self.path}/parts")
         recipes = self.spark.read.schema(STAGED).parquet(f"{self.path}/parts").where("kind = 'recipe'")
         _ordered(recipes, buckets).write.options(**packed).parquet(f"{self.path}/ordered")
-        self._remove("parts/kind=recipe")
         self._collect_garbage()
         return self
 
@@ -309,11 +309,6 @@ class TokenStore:
     def _collect_garbage(self) -> None:
         self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of finished jobs
 
-    def _remove(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
     def chunk_digests(self) -> DataFrame:
         """(chunk, n, crc) of every stored chunk, read and verified against its name; crc is of 32-bit ids."""
 
