@@ -10,6 +10,7 @@ are Parquet tables, so the store lives wherever Spark can write.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -156,6 +157,8 @@ class ByteBpe:
 
 @lru_cache(maxsize=2)
 def _loaded(spec: str) -> ByteBpe:
+    """One tokenizer for all tasks of a Python worker; a task has one core, so the library gets one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ByteBpe(spec)
 
 
