@@ -14,21 +14,25 @@ class PretokenIds:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 250_000) -> None:
         self.encode, self.most = encode, most
-        self._clear()
-
-    def _clear(self) -> None:
         self.at: dict[str, int] = {}
         self.flat, self.ptr = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
+    def _keep(self, words: list[str]) -> None:
+        """Forgets all but the stored words given."""
+        place = np.fromiter((self.at[w] for w in words), np.int64, len(words))
+        size = self.ptr[place + 1] - self.ptr[place]
+        self.flat = self.flat[A.ragged(self.ptr[place], size)]
+        self.ptr = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.at = dict(zip(words, range(len(words)), strict=True))
+
     def learn(self, rows: Iterable[list[str]]) -> None:
-        """Makes sure that every pre-token of the rows is stored; starts anew when the store is full."""
+        """Makes sure that every pre-token of the rows is stored; a full store forgets those not in the rows."""
         wanted: set[str] = set()
         for row in rows:
             wanted.update(row)
         missing = [w for w in wanted if w not in self.at]
         if len(self.at) + len(missing) > self.most and self.at:
-            self._clear()
-            missing = list(wanted)
+            self._keep([w for w in wanted if w in self.at])
         if missing:
             ids = self.encode(missing)
             self.at.update(zip(missing, range(len(self.at), len(self.at) + len(missing)), strict=True))

@@ -502,3 +502,14 @@ def test_words_shorter_and_longer_than_blocks():
     texts = pa.array(["a b", None, "x" * 5000, "", "c"])
     seen = [(i, j) for i, j, _, _ in A.blocks(texts, 16)]
     assert [i for i, _ in seen] == [0, *[j for _, j in seen][:-1]] and seen[-1][1] == 5
+
+
+def test_a_full_store_of_words_keeps_giving_the_same_ids():
+    from corpuscle.llm.pretokens import PretokenIds
+
+    store = PretokenIds(lambda words: [[ord(c) for c in w] for w in words], most=5)
+    rng = random.Random(2)
+    for _ in range(200):
+        rows = [["".join(rng.choices("abc", k=rng.randint(1, 3))) for _ in range(rng.randint(0, 4))] for _ in range(2)]
+        store.learn(rows)
+        assert [store.ids(r).tolist() for r in rows] == [[ord(c) for w in r for c in w] for r in rows]
