@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 from corpuscle.llm import _arrays as A
-from corpuscle.llm.pretokens import PretokenIds
+from corpuscle.llm.pretokens import PartIds, PretokenIds
 
 
 def byte_alphabet() -> list[str]:
@@ -62,7 +62,8 @@ class WordBpe:
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s\x1c-\x1fa-z0-9]+|[\x1c-\x1f]+", re.ASCII)
         self.alphabet = byte_alphabet()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.store = PretokenIds(self.encode_words)
+        self.store = PretokenIds(self.encode_words, 100_000)
+        self.parts = PartIds(1_000_000)
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text; special tokens stand as they are, between NULs that no other word holds."""
@@ -161,12 +162,26 @@ class WordBpe:
                     heapq.heappush(active, (rank, pair))
                     break
 
+    def encode_block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, row pointer) of a block of texts; no pre-token goes across white space, so parts between it are looked up."""
+        start, end, ptr = A.word_spans(data, offs)
+
+        def encode(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            raw = data.tobytes()
+            rows = [self.words(raw[a:b].decode("utf-8")) for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            self.store.learn(rows)
+            counts = np.fromiter((len(r) for r in rows), np.int64, len(rows))
+            ids, sizes = self.store.all_ids([w for r in rows for w in r])
+            return ids, np.bincount(np.repeat(np.arange(len(rows)), counts), weights=sizes, minlength=len(rows)).astype(np.int64)
+
+        ids, sizes = self.parts.ids(data, start, end, encode)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[ptr]
+
     def encode_texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; null counts as empty."""
-        rows = [self.words(t) if t else [] for t in texts]
-        self.store.learn(rows)
-        for row in rows:
-            yield self.store.ids(row)
+        ids, ptr = self.encode_block(*A.binary_parts(pa.array(texts, pa.large_string())))
+        for a, b in zip(ptr[:-1], ptr[1:], strict=True):
+            yield ids[a:b]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: tokens with a space between them, as without a decoder."""
@@ -205,17 +220,17 @@ def _mapped(docs: DataFrame, tokenizer: str, block_bytes: int, short: bool) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(spec.value)
         for batch in batches:
-            for i, j, _, _ in A.blocks(batch.column(1), block_bytes):
-                docs_ids, texts = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i).to_pylist()
-                rows = list(bpe.encode_texts(texts))
+            for i, j, data, offs in A.blocks(batch.column(1), block_bytes):
+                docs_ids = batch.column(0).slice(i, j - i)
+                ids, ptr = bpe.encode_block(data, offs)
+                rows = [ids[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
                 decoded = map(bpe.decode, rows)
                 if short:
                     digests = [hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in rows]
                     columns = [pa.array(list(map(len, rows)), pa.int64()), pa.array(digests, pa.string())]
                     columns.append(pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in decoded], pa.string()))
                 else:
-                    ptr = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-                    columns = [A.list_column(np.concatenate(rows), ptr, pa.int32()), pa.array(decoded, pa.string())]
+                    columns = [A.list_column(ids, ptr, pa.int32()), pa.array(decoded, pa.string())]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"] if short else ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([docs_ids, *columns], names=["doc_id", *names])
         A.release()

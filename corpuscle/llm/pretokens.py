@@ -8,6 +8,8 @@ import numpy as np
 
 from corpuscle.llm import _arrays as A
 
+_OTHER_BYTES = A._byte_table(0x243F6A88)
+
 
 class PretokenIds:
     """A bounded store of the ids of pre-tokens; encode gets those that are missing, all at once."""
@@ -40,8 +42,59 @@ class PretokenIds:
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))])
             self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(sizes)])
 
+    def all_ids(self, row: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of stored pre-tokens in one array, the number of each)."""
+        at = np.fromiter(map(self.at.__getitem__, row), np.int64, len(row))
+        start, size = self.ptr[at], self.ptr[at + 1] - self.ptr[at]
+        return self.flat[A.ragged(start, size)], size
+
     def ids(self, row: list[str]) -> np.ndarray:
         """The ids of one row of stored pre-tokens."""
-        at = np.fromiter(map(self.at.__getitem__, row), np.int64, len(row))
-        start = self.ptr[at]
-        return self.flat[A.ragged(start, self.ptr[at + 1] - start)]
+        return self.all_ids(row)[0]
+
+
+class PartIds:
+    """A bounded store of the ids of byte strings, told apart by two 64-bit hashes, held in arrays alone."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.at, self.check = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)  # hashes in order, and their parts
+        self.flat, self.ptr = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts data[start:end], their number for each part).
+
+        encode gets the places of parts that are new, and returns their ids in one
+        array and the number of each. A full store starts anew.
+        """
+        if not len(start):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        one, two = A.SpanHash(data)(start, end), A.SpanHash(data, _OTHER_BYTES)(start, end)
+        distinct, first, back = np.unique(one, return_index=True, return_inverse=True)
+        if (two != two[first][back]).any():
+            raise ValueError("two parts have one hash")
+        new = np.ones(len(distinct), dtype=bool)
+        if len(self.known):
+            place = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+            new = self.known[place] != distinct
+        if len(self.known) + int(new.sum()) > self.most and len(self.known):
+            self._clear()
+            new[:] = True
+        if new.any():
+            ids, counts = encode(first[new])
+            part = len(self.ptr) - 1 + np.arange(len(counts))
+            self.flat = np.concatenate([self.flat, ids])
+            self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(counts)])
+            place = np.searchsorted(self.known, distinct[new])
+            self.known = np.insert(self.known, place, distinct[new])
+            self.at = np.insert(self.at, place, part)
+            self.check = np.insert(self.check, place, two[first[new]])
+        place = np.searchsorted(self.known, distinct)
+        if (self.check[place] != two[first]).any():
+            raise ValueError("two parts have one hash")
+        part = self.at[place][back]
+        size = self.ptr[part + 1] - self.ptr[part]
+        return self.flat[A.ragged(self.ptr[part], size)], size

@@ -27,10 +27,10 @@ from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
 from corpuscle.llm import _arrays as A
+from corpuscle.llm.pretokens import PartIds
 
 U64 = np.uint64
 WINDOW, MEAN_BITS, LONGEST = 4, 8, 4096
-_OTHER_BYTES = A._byte_table(0x243F6A88)
 #: What each id adds to the rolling hash.
 _ROLL = A.mix(np.arange(1, 65537, dtype=np.uint64) * A.GOLDEN)
 
@@ -52,13 +52,7 @@ class ByteBpe:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes of each token; its letters stand for bytes
         for token, i in vocab.items():
             self.width[i] = len(token)
-        self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their parts
-        self.check = np.zeros(0, np.uint64)
-        self.flat, self.ptr = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.store = PartIds(most)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,8 +77,8 @@ class ByteBpe:
         total = np.concatenate([[0], np.cumsum(bad)])
         return total[offs[1:]] > total[offs[:-1]]
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        """Encodes parts (bytes start to end, hashes one and two) and stores their ids."""
+    def _parts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers) of parts, encoded many in one text; a part that no space leads is a text of its own."""
         led = (data[start] == 32) | (data[start] == 10)
         order = np.concatenate([np.flatnonzero(led), np.flatnonzero(~led)])
         n_led, size = int(led.sum()), (end - start)[order]
@@ -98,13 +92,8 @@ class ByteBpe:
         if not (len(ids) and last[-1] < len(reached) and (reached[last] == ends).all()):
             raise ValueError("tokens don't end where parts do")
         counts = np.diff(np.concatenate([[-1], last]))
-        base = len(self.ptr) - 1
-        self.flat = np.concatenate([self.flat, ids])
-        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(counts)])
-        where = np.empty(len(order), np.int64)
-        where[order] = base + np.arange(len(order))
-        place = np.searchsorted(self.known, one)  # one comes in order
-        self.known, self.at, self.check = np.insert(self.known, place, one), np.insert(self.at, place, where), np.insert(self.check, place, two)
+        where = np.argsort(order)  # back into the order of the parts
+        return ids[A.ragged((np.cumsum(counts) - counts)[where], counts[where])], counts[where]
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, row pointer) of a block of texts."""
@@ -120,26 +109,8 @@ class ByteBpe:
             row = np.searchsorted(offs, start, side="right") - 1
             keep = ~uneven[row]
             start, end, row = start[keep], end[keep], row[keep]
-            one, two = A.SpanHash(data)(start, end), A.SpanHash(data, _OTHER_BYTES)(start, end)
-            distinct, first, back = np.unique(one, return_index=True, return_inverse=True)
-            if (two != two[first][back]).any():
-                raise ValueError("two parts have one hash")
-            new = np.ones(len(distinct), dtype=bool)
-            if len(self.known):
-                place = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
-                new = self.known[place] != distinct
-            if len(self.known) + int(new.sum()) > self.most and len(self.known):
-                self._clear()
-                new[:] = True
-            if new.any():
-                f = first[new]
-                self._learn(data, start[f], end[f], one[f], two[f])
-            place = np.searchsorted(self.known, distinct)
-            if (self.check[place] != two[first]).any():
-                raise ValueError("two parts have one hash")
-            part = self.at[place][back]
-            size = self.ptr[part + 1] - self.ptr[part]
-            pieces.append(self.flat[A.ragged(self.ptr[part], size)])
+            ids, size = self.store.ids(data, start, end, lambda new: self._parts(data, start[new], end[new]))
+            pieces.append(ids)
             counts += np.bincount(row, weights=size, minlength=rows).astype(np.int64)
         whole = np.flatnonzero(uneven)
         ids = pieces[0] if pieces else np.zeros(0, np.int64)
