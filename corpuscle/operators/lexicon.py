@@ -34,11 +34,11 @@ URL = r"(https?://|www\.|\.com|\.org|\.net|@)"
 
 def vocabulary(postings: DataFrame) -> DataFrame:
     """(word, form, n, n_docs): every word with its most frequent form (ties: the smallest)."""
-    forms = postings.groupBy("word", "form").agg(F.count("*").alias("k"))
-    best = forms.groupBy("word").agg(F.max(F.struct("k")).alias("top"), F.sum("k").alias("n"))
-    named = forms.join(best, "word").where("k = top.k").groupBy("word").agg(F.min("form").alias("form"), F.first("n").alias("n"))
-    docs = postings.groupBy("word").agg(F.countDistinct("doc_id").alias("n_docs"))
-    return named.join(docs, "word")
+    counts = postings.groupBy("word", "form", "doc_id").agg(F.count("*").alias("k"))  # the one pass over all words
+    forms = counts.groupBy("word", "form").agg(F.sum("k").alias("k"))
+    first = F.row_number().over(W.partitionBy("word").orderBy(F.desc("k"), "form"))
+    named = forms.withColumns({"n": F.sum("k").over(W.partitionBy("word")), "first": first}).where("first = 1").select("word", "form", "n")
+    return named.join(counts.groupBy("word").agg(F.countDistinct("doc_id").alias("n_docs")), "word")
 
 
 def frequent_words(postings: DataFrame, least_docs: int) -> DataFrame:

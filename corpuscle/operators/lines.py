@@ -209,6 +209,12 @@ def postings(docs: DataFrame) -> DataFrame:
     return spans(docs, WORD).withColumn("word", F.lower("form"))
 
 
+def words(docs: DataFrame) -> DataFrame:
+    """(doc_id, form, word): every word without its offset, inside the JVM; word is in lower case."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)).alias("form"))
+    return rows.withColumn("word", F.lower("form"))
+
+
 def in_spans(positions: DataFrame, ranges: DataFrame, value: str, default: Column | None = None) -> DataFrame:
     """positions (doc_id, pos, ...) with the value of the span (doc_id, start, end, value) that holds pos.
 

@@ -200,13 +200,13 @@ LEXICON = f"{POSTED}, lex AS (SELECT word FROM pw GROUP BY 1 HAVING count(DISTIN
 
 
 def _lexicon(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = L.postings(documents(s, d))
+    p = L.words(documents(s, d))
     return p, X.frequent_words(p, 20)
 
 
 R.add(
     "vocabulary_forms",
-    lambda s, d: X.vocabulary(L.postings(documents(s, d))),
+    lambda s, d: X.vocabulary(L.words(documents(s, d))),
     f"WITH {POSTED}, k AS (SELECT word, form, count(*) AS k FROM pw GROUP BY 1, 2), n AS (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM pw GROUP BY 1) SELECT word, first(form ORDER BY k DESC, form) AS form, any_value(n) AS n, any_value(n_docs) AS n_docs FROM k JOIN n USING (word) GROUP BY word",
 )
 R.add(
@@ -228,7 +228,7 @@ _HOMOGRAPHS = ", ".join(f"'{w}'" for w in X.HOMOGRAPHS)
 _FOREIGN = "CASE " + " ".join(f"WHEN regexp_matches(word, '{p}') THEN '{n}'" for n, p in X.FOREIGN) + " END"
 R.add(
     "foreign_words",
-    lambda s, d: L.postings(documents(s, d)).where("length(word) >= 4").withColumn("language", X.foreign(F.col("word"))).where("language is not null").groupBy("word", "language").agg(F.count("*").alias("n")),
+    lambda s, d: L.words(documents(s, d)).where("length(word) >= 4").withColumn("language", X.foreign(F.col("word"))).where("language is not null").groupBy("word", "language").agg(F.count("*").alias("n")),
     f"WITH {POSTED} SELECT * FROM (SELECT word, {_FOREIGN} AS language, count(*) AS n FROM pw WHERE length(word) >= 4 GROUP BY 1) WHERE language IS NOT NULL",
 )
 R.add(
@@ -238,7 +238,7 @@ R.add(
 )
 R.add(
     "homographs",
-    lambda s, d: L.postings(documents(s, d)).select("doc_id", F.when(F.length("word") == 5, F.lit("minute")).otherwise(F.col("word")).alias("word")).where(F.col("word").isin(*X.HOMOGRAPHS)).groupBy("doc_id", "word").agg(F.count("*").alias("n")),
+    lambda s, d: L.words(documents(s, d)).select("doc_id", F.when(F.length("word") == 5, F.lit("minute")).otherwise(F.col("word")).alias("word")).where(F.col("word").isin(*X.HOMOGRAPHS)).groupBy("doc_id", "word").agg(F.count("*").alias("n")),
     f"WITH {POSTED} SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, CASE WHEN length(word) = 5 THEN 'minute' ELSE word END AS w FROM pw) WHERE w IN ({_HOMOGRAPHS}) GROUP BY 1, 2",
 )
 R.add("pron_consolidate", lambda s, d: X.consolidated(X.proposals(L.postings(documents(s, d)))))

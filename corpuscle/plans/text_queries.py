@@ -51,7 +51,7 @@ def _spaced() -> Column:
 
 R.add(
     "word_frequency",
-    lambda s, d: L.postings(documents(s, d)).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.min(F.struct("doc_id", "pos")).alias("f")).select("word", "n", "n_docs", F.col("f.doc_id").alias("first_doc")),
+    lambda s, d: L.words(documents(s, d)).groupBy("word", "doc_id").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")),
     f"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{L.WORD.replace(chr(39), chr(39) * 2)}'))) AS word FROM documents) GROUP BY 1",
 )
 R.add(
