@@ -63,7 +63,7 @@ class WordBpe:
         self.alphabet = byte_alphabet()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.store = PretokenIds(self.encode_words, 100_000)
-        self.parts = PartIds(1_000_000)
+        self.parts = PartIds(600_000)
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text; special tokens stand as they are, between NULs that no other word holds."""
