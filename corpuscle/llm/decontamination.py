@@ -2,8 +2,9 @@
 
 The benchmark is read in blocks of a fixed number of items. For each block one
 pass over the corpus counts in how many documents each of the block's n-grams
-occurs; an item's seeds are the rarest share of its n-grams. A second pass finds
-the seeds in the documents and aligns the item with the passage around each hit.
+occurs; an item's seeds are those of its n-grams that occur at all, or the rarest
+share of them. A second pass finds the seeds in the documents and aligns the item
+with the passage around each hit.
 Both passes are maps over the documents: no document is shuffled, and what the
 driver holds is bounded by a block of the benchmark.
 """
@@ -69,14 +70,14 @@ class Block:
         return maybe[same], at[same]
 
     def seeds(self, counts: np.ndarray, share: float, least: int) -> np.ndarray:
-        """Which occurrences are seeds: of each item the rarest share, least at the minimum."""
-        keep = np.zeros(len(self.at_gram), dtype=bool)
-        order = np.lexsort((self.at_word, counts[self.at_gram], self.at_item))
+        """Which occurrences are seeds: of each item's n-grams that occur in a document the rarest share, least at the minimum."""
+        present = counts[self.at_gram] > 0
+        order = np.lexsort((self.at_word, counts[self.at_gram], ~present, self.at_item))
         sizes = np.bincount(self.at_item, minlength=len(self.ids))
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        keep = rank < np.maximum(least, np.ceil(sizes * share))[self.at_item]
-        return keep
+        found = np.bincount(self.at_item[present], minlength=len(self.ids))
+        return present & (rank < np.maximum(least, np.ceil(found * share))[self.at_item])
 
 
 def align(item: np.ndarray, passage: np.ndarray, mismatch: float = -0.5, gap: float = -0.5) -> tuple[float, int, int, int]:
@@ -162,6 +163,8 @@ def _leaks(docs: DataFrame, block: Block, seed: np.ndarray, least_score: float,
                     text = own.words[own.ptr[i] : own.ptr[i + 1]]
                     lo = int(ptr[r]) + max(0, int(shift[a]) - slack)
                     hi = min(int(ptr[r + 1]), int(ptr[r]) + int(shift[b - 1]) + len(text) + slack)
+                    if np.isin(text, hashes[lo:hi]).sum() < least_score * len(text):
+                        continue  # a match uses up a word of the item, so the score can't be reached
                     score, hits, s, e = align(text, hashes[lo:hi])
                     if score >= least_score * len(text):
                         base = offs[r]
@@ -176,14 +179,15 @@ _ARROW = pa.schema([(x.split()[0], pa.float64() if x.endswith("double") else pa.
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, n: int = 4, seed_share: float = 0.75, least_seeds: int = 8,
+    docs: DataFrame, benchmark: DataFrame, n: int = 4, seed_share: float = 1.0, least_seeds: int = 8,
     least_score: float = 0.5, slack: int = 8, block_items: int = 20_000,
 ) -> DataFrame:
     """One row for each (document, benchmark item) that aligns with at least least_score of the item's words.
 
     Words are runs of letters, digits and non-ASCII bytes, lower-cased in A-Z. Of
     several passages of one document that match an item, the best is returned
-    (ties: the first). Null or empty texts match nothing; items without words and
+    (ties: the first). A passage is looked at if it shares n words in a row with the
+    item; with seed_share below 1 only the rarest share of them counts. Null or empty texts match nothing; items without words and
     items with a null id are no items; an item shorter than n words is one seed.
     Rows that repeat a doc_id are one document. Byte offsets are into the text's UTF-8.
     Other columns of either table are ignored, whatever their names.

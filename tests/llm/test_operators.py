@@ -457,6 +457,20 @@ def test_leaks_are_found_and_clean_documents_left(spark, awkward, nothing):
     assert decontamination.leaks(docs, bench.where("item_id < 0")).count() == 0
 
 
+def test_edited_copies_are_found_by_any_surviving_words(spark):
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(5000)]
+    rows, items = [], []
+    for i in range(20):
+        t = [f"item{i}w{k}" for k in range(40)]
+        items.append((i, " ".join(t)))
+        for k in (*range(0, 20, 4), *range(20, 35, 3)):  # 4-grams survive in the last five words alone
+            t[k] = "other"
+        rows.append((i, " ".join(rng.choices(words, k=50) + t + rng.choices(words, k=50))))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()} == {(i, i) for i in range(20)}
+
+
 # 9. URL filters
 
 
