@@ -139,6 +139,8 @@ def _leaks(docs: DataFrame, block: Block, seed: np.ndarray, least_score: float,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, chosen = held.value
+        # a gap costs 0.5 a word, so an alignment that reaches least_score inserts or leaves out at most so many words
+        reach = np.maximum(slack, np.ceil(np.diff(own.ptr) * max(0.0, 1 - least_score) / 0.5)).astype(np.int64)
         occurrences = np.flatnonzero(chosen)
         occurrences = occurrences[np.argsort(own.at_gram[occurrences], kind="stable")]
         ptr_of = np.searchsorted(own.at_gram[occurrences], np.arange(len(own.gram) + 1))
@@ -155,14 +157,14 @@ def _leaks(docs: DataFrame, block: Block, seed: np.ndarray, least_score: float,
                 item, shift = own.at_item[hit], (at - gptr[row]) - own.at_word[hit]
                 order = np.lexsort((shift, item, row))
                 row, item, shift = row[order], item[order], shift[order]
-                cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(shift) > 2 * slack)) + 1
+                cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(shift) > reach[item[1:]])) + 1
                 for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(row)]]), strict=True):
                     if a == b:
                         continue
                     r, i = int(row[a]), int(item[a])
                     text = own.words[own.ptr[i] : own.ptr[i + 1]]
-                    lo = int(ptr[r]) + max(0, int(shift[a]) - slack)
-                    hi = min(int(ptr[r + 1]), int(ptr[r]) + int(shift[b - 1]) + len(text) + slack)
+                    lo = int(ptr[r]) + max(0, int(shift[a]) - int(reach[i]))
+                    hi = min(int(ptr[r + 1]), int(ptr[r]) + int(shift[b - 1]) + len(text) + int(reach[i]))
                     if np.isin(text, hashes[lo:hi]).sum() < least_score * len(text):
                         continue  # a match uses up a word of the item, so the score can't be reached
                     score, hits, s, e = align(text, hashes[lo:hi])
@@ -187,10 +189,12 @@ def leaks(
     Words are runs of letters, digits and non-ASCII bytes, lower-cased in A-Z. Of
     several passages of one document that match an item, the best is returned
     (ties: the first). A passage is looked at if it shares n words in a row with the
-    item; with seed_share below 1 only the rarest share of them counts. Null or empty texts match nothing; items without words and
-    items with a null id are no items; an item shorter than n words is one seed.
-    Rows that repeat a doc_id are one document. Byte offsets are into the text's UTF-8.
-    Other columns of either table are ignored, whatever their names.
+    item; it reaches as far as an alignment with least_score can, slack words at the
+    least. With seed_share below 1 only the rarest share of the item's n-grams counts.
+    Null or empty texts match nothing; items without words and items with a null id
+    are no items; an item shorter than n words is one seed. Rows that repeat a doc_id
+    are one document. Byte offsets are into the text's UTF-8. Other columns of either
+    table are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")

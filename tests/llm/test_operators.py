@@ -471,6 +471,16 @@ def test_edited_copies_are_found_by_any_surviving_words(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()} == {(i, i) for i in range(20)}
 
 
+def test_copies_with_long_insertions_are_aligned_whole(spark):
+    item = [f"item{k}" for k in range(40)]
+    copy = item[:15] + [f"in{k}" for k in range(17)] + item[15:25] + [f"on{k}" for k in range(17)] + item[25:]
+    spread = item[:13] + [f"in{k}" for k in range(38)] + item[13:]
+    rows = [(1, " ".join([f"a{k}" for k in range(60)] + copy + [f"b{k}" for k in range(60)])), (2, " ".join(copy)), (3, " ".join(spread))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r["doc_id"]: (r["score"] * 40, r["byte_end"] - r["byte_start"]) for r in decontamination.leaks(docs, bench).collect()}
+    assert found == {1: (23.0, len(" ".join(copy))), 2: (23.0, len(" ".join(copy))), 3: (27.0, len(" ".join(item[13:])))}
+
+
 # 9. URL filters
 
 
