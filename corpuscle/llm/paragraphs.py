@@ -87,17 +87,17 @@ def _sorted_units(parts: list[tuple], keys: list[np.ndarray], bands: int) -> Ite
         ],
         schema=_ARROW,
     )
-    doc, word, size, of = doc[~fresh], word[~fresh], size[~fresh], of[~fresh]
+    kind, doc, word, size, of = kind[~fresh], doc[~fresh], word[~fresh], size[~fresh], of[~fresh]
     if len(doc):  # adjoining repeats of one document and one source as one row
-        order = np.lexsort((word, of, doc))
-        doc, word, size, of = doc[order], word[order], size[order], of[order]
+        order = np.lexsort((word, kind, of, doc))
+        kind, doc, word, size, of = kind[order], doc[order], word[order], size[order], of[order]
         head = np.ones(len(doc), dtype=bool)
-        head[1:] = (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (word[1:] != word[:-1] + size[:-1])
+        head[1:] = (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]) | (word[1:] != word[:-1] + size[:-1])
         at = np.flatnonzero(head)
         none = np.zeros(len(at), np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(none, pa.int32()), pa.array(np.ones(len(at), bool)), pa.array(doc[at]), pa.array(word[at]), pa.array(np.add.reduceat(size, at)),
+                pa.array(kind[at], pa.int32()), pa.array(np.ones(len(at), bool)), pa.array(doc[at]), pa.array(word[at]), pa.array(np.add.reduceat(size, at)),
                 pa.array(none), pa.array(none), pa.array(none), A.list_column(none[:0], np.zeros(len(at) + 1, np.int64), pa.int64()), pa.array(of[at]),
             ],
             schema=_ARROW,
@@ -163,7 +163,7 @@ def _line_sets(docs: DataFrame, firsts: DataFrame, ids: DataFrame, n: int) -> Da
 
 
 def removals(tables: Tables, docs: DataFrame, percent: int, n: int, reach: int, least_words: int, near_words: int, miss: float) -> DataFrame:
-    """(doc_id, word, n_words, of): runs of words that repeat a kept occurrence in document `of`."""
+    """(doc_id, word, n_words, of, whole): runs of words that repeat a kept occurrence in document `of`; whole: they are lines."""
     bands, rows = S.banding(percent / 100, miss, 3)
     found = tables.write(units(docs, reach, least_words, near_words, n, bands, rows), "units")
     fresh = found.where("not repeat")
@@ -171,7 +171,8 @@ def removals(tables: Tables, docs: DataFrame, percent: int, n: int, reach: int,
     seen = fresh.groupBy("kind", "lo", "hi").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     later = F.struct(F.col("doc_id").alias("d"), F.col("word").alias("w")) > F.col("first")
     again = fresh.join(seen.where("n > 1"), ["kind", "lo", "hi"]).where(later)
-    again = again.select("doc_id", "word", "n_words", F.col("first.d").alias("of"))
+    whole = (F.col("kind") == LINE).alias("whole")
+    again = again.select("doc_id", "word", "n_words", F.col("first.d").alias("of"), whole)
 
     lines = tables.write(fresh.where(f"kind = {LINE} and n_shingles > 0").groupBy(F.col("lo").alias("id")).agg(F.min(F.struct("doc_id", "word", "n_words", "n_shingles", "bands")).alias("x")), "lines")
     firsts = lines.select("id", "x.doc_id", "x.word", "x.n_words")
@@ -180,8 +181,8 @@ def removals(tables: Tables, docs: DataFrame, percent: int, n: int, reach: int,
     keepers = grouped.groupBy("component").agg(F.min("first").alias("first"))
     keepers = grouped.select("id", "component").join(keepers, "component").select(F.col("id").alias("lo"), "first")
     near = fresh.where(f"kind = {LINE} and n_shingles > 0").join(keepers, "lo").where(later)
-    near = near.select("doc_id", "word", "n_words", F.col("first.d").alias("of"))
-    return found.where("repeat").select("doc_id", "word", "n_words", "of").unionByName(again).unionByName(near)
+    near = near.select("doc_id", "word", "n_words", F.col("first.d").alias("of"), whole)
+    return found.where("repeat").select("doc_id", "word", "n_words", "of", whole).unionByName(again).unionByName(near)
 
 
 def _cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -205,23 +206,25 @@ def b10(text: bytes, a: int, b: int) -> bool:
 
 
 def _runs(spans: list[dict], least_run: int) -> list[tuple[int, int]]:
+    """Joined spans as (first, end): those of at least least_run words and those that hold a whole line."""
     out: list[list[int]] = []
-    for a, b in sorted((s["word"], s["word"] + s["n_words"]) for s in spans):
+    for a, b, whole in sorted((s["word"], s["word"] + s["n_words"], s["whole"]) for s in spans):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+            out[-1][1:] = max(out[-1][1], b), out[-1][2] or whole
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out if b - a >= least_run]
+            out.append([a, b, whole])
+    return [(a, b) for a, b, whole in out if whole or b - a >= least_run]
 
 
 def deduplicated(
-    docs: DataFrame, percent: int = 80, n: int = 5, reach: int = 5, least_words: int = 5, near_words: int = 20,
-    least_run: int = 15, miss: float = 1e-3,
+    docs: DataFrame, percent: int = 80, n: int = 5, reach: int = 5, least_words: int = 5, near_words: int = 5,
+    least_run: int = 15, miss: float = 1e-6,
 ) -> DataFrame:
     """All columns of docs with repeated passages cut from text, and n_removed_words, n_spans, linked.
 
-    linked lists the documents that hold the occurrences that were kept. Runs of
-    fewer than least_run repeated words stay. Null and empty texts, rows with a
+    linked lists the documents that hold the occurrences that were kept. Lines of at
+    least near_words words go if an earlier line equals or nearly equals them; inside
+    a line, runs of fewer than least_run repeated words stay. Null and empty texts, rows with a
     null doc_id, and documents without repeats come back unchanged with
     n_removed_words 0. Rows that repeat a doc_id are one document and are cut
     alike. A document that only repeats others keeps a row with what is left,
@@ -234,7 +237,7 @@ def deduplicated(
     gone = tables.write(removals(tables, plain, percent, n, reach, least_words, near_words, miss), "spans")
     for name in ("units", "lines", "stars", "checked", "more"):
         tables.drop(name)
-    spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words")).alias("_spans"), F.array_sort(F.collect_set("of")).alias("linked"))
+    spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words", "whole")).alias("_spans"), F.array_sort(F.collect_set("of")).alias("linked"))
     columns = docs.columns
     joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").select(*columns, "_spans", "linked")
     at = columns.index("text")

@@ -513,6 +513,16 @@ def test_repeated_passages_are_cut_wherever_they_stand(spark):
     assert out[201]["text"] == "second\n" and out[201]["linked"] == [200]
 
 
+def test_short_lines_are_matched_exactly_and_nearly(spark):
+    lines = {k: [f"l{k}w{i}" for i in range(k)] for k in (5, 9, 13, 19)}
+    text = lambda name, edit: "\n".join(" ".join([f"{name}{k}", f"{name}{k}b"]) + "\n" + " ".join(w if not edit or k < 13 else [*w[:-1], "changed"]) for k, w in lines.items())
+    rows = [(1, text("a", False)), (2, text("b", False)), (3, text("c", True))]
+    out = {r["doc_id"]: r for r in paragraphs.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1]["text"] == rows[0][1]
+    for i in (2, 3):
+        assert out[i]["n_removed_words"] == 46 and 1 in out[i]["linked"] and "l13w1" not in out[i]["text"]
+
+
 def test_paragraphs_on_awkward_rows(awkward, nothing):
     clash = awkward.withColumn("linked", F.lit("mine"))
     out = paragraphs.deduplicated(clash).collect()
