@@ -6,12 +6,15 @@ ones are verified by exact Jaccard and grouped by components. Pieces are cut
 inside the text at words that content alone chooses (a word pair whose hash is
 the least of its neighbourhood), so that a passage set into the middle of a
 paragraph is cut alike wherever it stands; equal pieces are one component. Of
-each component the first occurrence stays, in order of doc_id and position.
+each component the first occurrence stays, in order of doc_id and position. Equal
+runs are then extended word by word against the occurrence that stays.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ from corpuscle.llm._spark import Tables
 
 U64 = np.uint64
 PIECE, LINE, LONGEST = 0, 1, 40
+LEFT, RIGHT = 0, 1
 UNIT_SCHEMA = "kind int, repeat boolean, doc_id long, word long, n_words long, lo long, hi long, n_shingles long, bands array<long>, of long"
 _ARROW = pa.schema([
     ("kind", pa.int32()), ("repeat", pa.bool_()), ("doc_id", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64()),
@@ -53,7 +57,9 @@ class Layout:
         for d in range(1, reach + 1):
             before[d:] = np.minimum(before[d:], key[:-d])
             after[:-d] = np.minimum(after[:-d], key[d:])
-        pieces = np.flatnonzero((key < before) & (key <= after) | self.new_line)
+        first = np.zeros(n, dtype=bool)
+        first[self.ptr[:-1][np.diff(self.ptr) > 0]] = True
+        pieces = np.flatnonzero((key < before) & (key <= after) | first)
         # where no word pair stands out (one word over and over), a piece ends after LONGEST words
         parts = -(-np.diff(np.append(pieces, n)) // LONGEST)
         self.pieces = np.repeat(pieces, parts) + LONGEST * A.ragged(np.zeros(len(parts), np.int64), parts)
@@ -87,18 +93,19 @@ def _sorted_units(parts: list[tuple], keys: list[np.ndarray], bands: int) -> Ite
         ],
         schema=_ARROW,
     )
-    kind, doc, word, size, of = kind[~fresh], doc[~fresh], word[~fresh], size[~fresh], of[~fresh]
-    if len(doc):  # adjoining repeats of one document and one source as one row
-        order = np.lexsort((word, kind, of, doc))
-        kind, doc, word, size, of = kind[order], doc[order], word[order], size[order], of[order]
+    at = word[np.maximum.accumulate(np.where(fresh, np.arange(len(kind)), 0))]
+    kind, doc, word, size, of, shift = kind[~fresh], doc[~fresh], word[~fresh], size[~fresh], of[~fresh], (word - at)[~fresh]
+    if len(doc):  # adjoining repeats of one document and one run of its source as one row; lo is the place there
+        order = np.lexsort((word, shift, kind, of, doc))
+        kind, doc, word, size, of, shift = kind[order], doc[order], word[order], size[order], of[order], shift[order]
         head = np.ones(len(doc), dtype=bool)
-        head[1:] = (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]) | (word[1:] != word[:-1] + size[:-1])
+        head[1:] = (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]) | (shift[1:] != shift[:-1]) | (word[1:] != word[:-1] + size[:-1])
         at = np.flatnonzero(head)
         none = np.zeros(len(at), np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(kind[at], pa.int32()), pa.array(np.ones(len(at), bool)), pa.array(doc[at]), pa.array(word[at]), pa.array(np.add.reduceat(size, at)),
-                pa.array(none), pa.array(none), pa.array(none), A.list_column(none[:0], np.zeros(len(at) + 1, np.int64), pa.int64()), pa.array(of[at]),
+                pa.array((word - shift)[at]), pa.array(none), pa.array(none), A.list_column(none[:0], np.zeros(len(at) + 1, np.int64), pa.int64()), pa.array(of[at]),
             ],
             schema=_ARROW,
         )
@@ -163,7 +170,10 @@ def _line_sets(docs: DataFrame, firsts: DataFrame, ids: DataFrame, n: int) -> Da
 
 
 def removals(tables: Tables, docs: DataFrame, percent: int, n: int, reach: int, least_words: int, near_words: int, miss: float) -> DataFrame:
-    """(doc_id, word, n_words, of, whole): runs of words that repeat a kept occurrence in document `of`; whole: they are lines."""
+    """(doc_id, word, n_words, of, at, whole): runs of words that repeat a kept occurrence in document `of`.
+
+    at is the word where that occurrence begins, null where it is not equal; whole: the run is made of lines.
+    """
     bands, rows = S.banding(percent / 100, miss, 3)
     found = tables.write(units(docs, reach, least_words, near_words, n, bands, rows), "units")
     fresh = found.where("not repeat")
@@ -172,7 +182,7 @@ def removals(tables: Tables, docs: DataFrame, percent: int, n: int, reach: int,
     later = F.struct(F.col("doc_id").alias("d"), F.col("word").alias("w")) > F.col("first")
     again = fresh.join(seen.where("n > 1"), ["kind", "lo", "hi"]).where(later)
     whole = (F.col("kind") == LINE).alias("whole")
-    again = again.select("doc_id", "word", "n_words", F.col("first.d").alias("of"), whole)
+    again = again.select("doc_id", "word", "n_words", F.col("first.d").alias("of"), F.col("first.w").alias("at"), whole)
 
     lines = tables.write(fresh.where(f"kind = {LINE} and n_shingles > 0").groupBy(F.col("lo").alias("id")).agg(F.min(F.struct("doc_id", "word", "n_words", "n_shingles", "bands")).alias("x")), "lines")
     firsts = lines.select("id", "x.doc_id", "x.word", "x.n_words")
@@ -181,8 +191,83 @@ def removals(tables: Tables, docs: DataFrame, percent: int, n: int, reach: int,
     keepers = grouped.groupBy("component").agg(F.min("first").alias("first"))
     keepers = grouped.select("id", "component").join(keepers, "component").select(F.col("id").alias("lo"), "first")
     near = fresh.where(f"kind = {LINE} and n_shingles > 0").join(keepers, "lo").where(later)
-    near = near.select("doc_id", "word", "n_words", F.col("first.d").alias("of"), whole)
-    return found.where("repeat").select("doc_id", "word", "n_words", "of", whole).unionByName(again).unionByName(near)
+    near = near.select("doc_id", "word", "n_words", F.col("first.d").alias("of"), F.lit(None).cast("long").alias("at"), whole)
+    return found.where("repeat").select("doc_id", "word", "n_words", "of", F.col("lo").alias("at"), whole).unionByName(again).unionByName(near)
+
+
+def _open_ends(doc: int, spans: list[dict]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(doc, side, edge, of, place) of the ends of equal runs that no other run covers.
+
+    The words from edge on (to the left: before it) are to be compared with those from place in document of.
+    """
+    ends = sorted((s["word"], s["word"] + s["n_words"]) for s in spans)
+    starts, reach = [a for a, _ in ends], list(accumulate((b for _, b in ends), max))
+
+    def covered(word: int) -> bool:
+        k = bisect_right(starts, word)
+        return k > 0 and reach[k - 1] > word
+
+    for s in spans:
+        if s["at"] is not None:
+            a, b = s["word"], s["word"] + s["n_words"]
+            if a and s["at"] and not covered(a - 1):
+                yield doc, LEFT, a, s["of"], s["at"]
+            if not covered(b):
+                yield doc, RIGHT, b, s["of"], s["at"] + s["n_words"]
+
+
+def extensions(tables: Tables, docs: DataFrame, spans: DataFrame, context: int) -> DataFrame:
+    """(doc_id, ends): of each document with equal runs, [side, edge, words] with the words of the kept occurrence beyond it.
+
+    Words are 64-bit hashes, to the left in falling order. Beyond a run, equal text
+    of more than LONGEST words and a neighbourhood holds a whole piece again, which
+    is a run of its own, so context words are enough. Each kept document is read
+    once for all that ask for it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {e for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in _open_ends(d, x)}
+            columns = list(zip(*found, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "side", "edge", "of", "place"])
+
+    edges = tables.write(spans.select("doc_id", "_spans").mapInArrow(run, "doc_id long, side long, edge long, of long, place long"), "edges")
+    asked = edges.select("of", "side", "place").distinct().groupBy(F.col("of").alias("doc_id")).agg(F.collect_list(F.struct("side", "place")).alias("asked"))
+    held = docs.join(asked, "doc_id").select("doc_id", "text", "asked")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, asked = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i, j, data, offs in A.blocks(batch.column(1), 1 << 20):
+                hashes, ptr = A.word_hashes(data, offs)
+                out: list[tuple[int, int, int, bytes]] = []
+                for r in range(j - i):
+                    own = hashes[ptr[r] : ptr[r + 1]]
+                    for x in asked[i + r]:
+                        at = x["place"]
+                        beyond = own[at : at + context] if x["side"] == RIGHT else own[max(0, at - context) : at][::-1]
+                        out.append((ids[i + r], x["side"], at, beyond.tobytes()))
+                of, side, place, beyond = zip(*out, strict=True) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(side, pa.int64()), pa.array(place, pa.int64()), pa.array(beyond, pa.binary())], names=["of", "side", "place", "words"])
+        A.release()
+
+    beyond = held.mapInArrow(words, "of long, side long, place long, words binary").dropDuplicates(["of", "side", "place"])
+    return edges.join(beyond, ["of", "side", "place"]).groupBy("doc_id").agg(F.collect_list(F.struct("side", "edge", "words")).alias("_ends"))
+
+
+def _extended(text: str, ends: list[dict]) -> list[dict]:
+    """The spans by which equal runs of a text go on."""
+    data, offs = A.binary_parts(pa.array([text], pa.large_string()))
+    own, _ = A.word_hashes(data, offs)
+    out = []
+    for x in ends:
+        there = np.frombuffer(x["words"], dtype=np.uint64)
+        here = own[x["edge"] :][: len(there)] if x["side"] == RIGHT else own[max(0, x["edge"] - len(there)) : x["edge"]][::-1]
+        same = here == there[: len(here)]
+        n = len(same) if same.all() else int(same.argmin())
+        if n:
+            out.append({"word": x["edge"] if x["side"] == RIGHT else x["edge"] - n, "n_words": n, "whole": False})
+    return out
 
 
 def _cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -237,16 +322,21 @@ def deduplicated(
     gone = tables.write(removals(tables, plain, percent, n, reach, least_words, near_words, miss), "spans")
     for name in ("units", "lines", "stars", "checked", "more"):
         tables.drop(name)
-    spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words", "whole")).alias("_spans"), F.array_sort(F.collect_set("of")).alias("linked"))
+    spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words", "whole", "of", "at")).alias("_spans"), F.array_sort(F.collect_set("of")).alias("linked"))
+    spans = tables.write(spans, "grouped")
+    tables.drop("spans")
+    # a piece has LONGEST words at most, and one of under least_words can come before it
+    spans = spans.join(extensions(tables, plain, spans, LONGEST + reach + least_words), "doc_id", "left")
+    spans = spans.withColumn("_spans", F.transform("_spans", lambda x: F.struct(x["word"].alias("word"), x["n_words"].alias("n_words"), x["whole"].alias("whole"))))
     columns = docs.columns
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").select(*columns, "_spans", "linked")
+    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").select(*columns, "_spans", "linked", "_ends")
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, words, counts, linked = batch.column(at).to_pylist(), [], [], []
-            for r, (spans, of) in enumerate(zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True)):
-                runs = _runs(spans, least_run) if spans and texts[r] else []
+            for r, (spans, of, ends) in enumerate(zip(*(batch.column(len(columns) + k).to_pylist() for k in range(3)), strict=True)):
+                runs = _runs(spans + _extended(texts[r], ends or []), least_run) if spans and texts[r] else []
                 if runs:
                     texts[r] = _cut(texts[r].encode("utf-8"), runs).decode("utf-8")
                 words.append(sum(b - a for a, b in runs))

@@ -513,6 +513,18 @@ def test_repeated_passages_are_cut_wherever_they_stand(spark):
     assert out[201]["text"] == "second\n" and out[201]["linked"] == [200]
 
 
+def test_passages_are_cut_to_their_ends(spark):
+    rows = []
+    for i in range(12):
+        passage = [f"p{i}w{k}" for k in range(51)]
+        for copy in range(2):
+            rows.append((100 * copy + i, " ".join([f"a{i}c{copy}w{k}" for k in range(60)] + passage) + "\n" * (i % 2) + " " + " ".join(f"b{i}c{copy}w{k}" for k in range(60))))
+    out = {r["doc_id"]: r for r in paragraphs.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(12):
+        assert out[i]["text"] == rows[2 * i][1]
+        assert out[100 + i]["n_removed_words"] == 51 and f"p{i}w" not in out[100 + i]["text"]
+
+
 def test_short_lines_are_matched_exactly_and_nearly(spark):
     lines = {k: [f"l{k}w{i}" for i in range(k)] for k in (5, 9, 13, 19)}
     text = lambda name, edit: "\n".join(" ".join([f"{name}{k}", f"{name}{k}b"]) + "\n" + " ".join(w if not edit or k < 13 else [*w[:-1], "changed"]) for k, w in lines.items())
