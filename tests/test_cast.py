@@ -57,6 +57,27 @@ def test_components_and_hard_constraints(spark):
     assert part[1] == part[2] != part[3] and part[7] == part[8] == part[9] == 0
 
 
+def test_constraint_split_reads_every_order(spark):
+    from corpuscle.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    pairs = [(r[0], r[1] % 1500) for r in spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey").collect()]
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    got = {r["id"]: (r["component"], r["part"]) for r in catalog.QUERIES["constraint_split"](spark, d).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {i: top(i) for i in list(up)}
+    assert all(got[a] != got[b] for a, b in pairs if a != b and (a + b) % 5 == 0)
+
+
 def test_long_path_settles(spark):
     groups = G.components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"))
     assert [r[0] for r in groups.select("component").distinct().collect()] == [0]
