@@ -1,7 +1,10 @@
 """Vectorised text arrays shared by the operators of this subpackage.
 
 Everything here is pure NumPy/Arrow on the rows of one batch: word spans, 64-bit
-polynomial hashes of spans and word shingles in CSR form (values + row pointer).
+hashes of spans and word shingles in CSR form (values + row pointer). Strings are
+told apart by span_hashes, which mixes every eight bytes with their place; the
+polynomial RollingHash has equal values for some long different strings (an odd
+base to powers of two) and only chooses places, never what is equal.
 Blocks are cut so that working arrays stay a small multiple of ``block_bytes``;
 a single longer text forms a block of its own.
 """
@@ -56,8 +59,8 @@ def powers(n: int, base: int = P1) -> np.ndarray:
     return (_powers(size, base) if size <= 1 << 23 else _powers.__wrapped__(size, base))[:n]
 
 
-class SpanHash:
-    """Hashes of any spans of one byte buffer, by prefix sums of a polynomial."""
+class RollingHash:
+    """Hashes of any spans of one byte buffer, by prefix sums of a polynomial: to choose places, not to tell strings apart."""
 
     def __init__(self, data: np.ndarray, table: np.ndarray = _BYTES) -> None:
         self.prefix = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -68,6 +71,48 @@ class SpanHash:
         return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start] + (end - start).astype(np.uint64) * GOLDEN)
 
 
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span data[start:end]; those of two seeds are independent.
+
+    Every eight bytes are mixed with their place in the span and the seed, and the
+    mixed values are added up, so no step is linear in the bytes.
+    """
+    size = np.asarray(end - start)
+    words = (size + 7) >> 3
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    many = words > 1
+    out = np.zeros(len(size), dtype=np.uint64)
+    key = mix(np.array([seed + 1], dtype=np.uint64) * GOLDEN)
+
+    def mixed(block: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+        return mix(mix(block ^ key) + mix(np.atleast_1d(np.asarray(place, dtype=np.uint64)) * GOLDEN + key))
+
+    one = np.flatnonzero(~many)
+    out[one] = mixed(eight[start[one]] & _TAIL[size[one]], 0)
+    for some in _portions(np.flatnonzero(many), words):
+        count = words[some]
+        place = _ragged(np.zeros(len(some), np.int64), count)
+        left = np.repeat(size[some], count) - 8 * place
+        block = eight[np.repeat(start[some], count) + 8 * place] & _TAIL[np.minimum(left, 8)]
+        out[some] = np.add.reduceat(mixed(block, place), np.cumsum(count) - count)
+    return mix(out ^ mix(size.astype(np.uint64) * GOLDEN + key))
+
+
+def _portions(rows: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The rows in runs of about most units of size, so that work arrays stay bounded."""
+    total = np.cumsum(size[rows])
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
+        yield rows[a:b]
+        a = b
+
+
 def binary_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -113,7 +158,7 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, row pointer)."""
     start, end, ptr = word_spans(data, offs)
-    return SpanHash(_LOWER[data])(start, end), ptr
+    return span_hashes(_LOWER[data], start, end), ptr
 
 
 def shingles(words: np.ndarray, ptr: np.ndarray, n: int, short_whole: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """(start, end, hash, row pointer) of the words of letters and digits, lower-cased in A-Z."""
     plain = np.where(_SEPARATORS[data], np.uint8(0x20), A._LOWER[data])
     start, end, ptr = A.word_spans(plain, offs)
-    return start, end, A.SpanHash(plain)(start, end), ptr
+    return start, end, A.span_hashes(plain, start, end), ptr
 
 
 @dataclass

@@ -411,8 +411,10 @@ def padded(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text, padded, as a FLAC stream of 8-bit samples.
 
-    A null text counts as empty and is stored as 64 zeros. Rows are independent;
-    other columns are ignored.
+    A null text counts as empty and is stored as 64 zeros. Rows are independent:
+    repeated ids and rows stay rows, equal texts have equal streams, and a text of
+    any length is one stream (one longer than a block forms a block of its own).
+    Other columns, whatever their names, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,23 +111,26 @@ class Ftrl:
 
 
 def fit(
-    labelled: DataFrame, max_docs: int = 2000, max_langs: int = 200, epochs: int = 3, alpha: float = 0.5,
+    labelled: DataFrame, max_docs: int = 2000, least_docs: int = 5, epochs: int = 3, alpha: float = 0.5,
     beta: float = 1.0, l1: float = 0.02, l2: float = 0.1,
 ) -> Model | None:
     """A model from (doc_id, text, lang); rows with a null in any of them teach nothing.
 
-    Document frequencies count every row. The weights see at most max_docs rows,
-    spread evenly over the languages (the max_langs most frequent), chosen by a
-    hash of doc_id; one in five of them is kept for the temperature. None
-    if there is no row to learn from.
+    Every label that occurs is learned, and document frequencies count every row.
+    The weights see at most max_docs rows, spread evenly over the labels, or
+    least_docs rows for each label where that is more; one in five of them is kept
+    for the temperature. Rows are chosen by a hash of doc_id and text, so the choice
+    does not hang on how rows are dealt out: rows of one doc_id with other texts
+    are rows of their own, rows that agree in doc_id, text and lang count once.
+    None if there is no row to learn from.
     """
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.where("doc_id is not null and text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return None
     langs = sorted(r["lang"] for r in sizes)
-    quota = max(1, max_docs // len(langs))
+    quota = max(least_docs, max_docs // len(langs))
     share = {r["lang"]: min(1.0, 1.5 * quota / r["n"] + 0.0) if r["n"] > 3 * quota else 1.0 for r in sizes}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +148,10 @@ def fit(
         df[r["feature"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    order = F.xxhash64("doc_id", F.lit(17))
-    part = (F.pmod(order, F.lit(1 << 20)) / (1 << 20)).alias("u")
     limits = F.create_map(*[F.lit(v) for pair in share.items() for v in pair])
-    near = rows.where(part < limits[F.col("lang")])
-    ranked = near.select("doc_id", "lang", order.alias("h")).withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id")))
-    chosen = ranked.where(F.col("k") <= quota).select("doc_id", "lang", "k")
+    near = rows.withColumn("h", F.xxhash64("doc_id", "text", F.lit(17))).where(F.pmod("h", F.lit(1 << 20)) / (1 << 20) < limits[F.col("lang")])
+    ranked = near.select("doc_id", "lang", "h").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id")))
+    chosen = ranked.where(F.col("k") <= quota)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +162,9 @@ def fit(
             kinds = [pa.list_(pa.int32())] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(index, kinds[0]), pa.array(counts, kinds[1])], names=["doc_id", "lang", "k", "index", "counts"])
 
-    near = near.join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "k", "text")
+    near = near.join(chosen, ["doc_id", "lang", "h"]).select("doc_id", "lang", "k", "text")
     sample = near.mapInArrow(features, "doc_id long, lang string, k int, index array<int>, counts array<int>").toPandas()
-    sample = sample.sort_values(["k", "lang", "doc_id"]).drop_duplicates(["doc_id", "lang"])
+    sample = sample.sort_values(["k", "lang"]).drop_duplicates(["k", "lang"])  # rows of one rank agree in all that is learned
     sample = [(np.asarray(i, dtype=np.int64), np.asarray(c), langs.index(g), k) for i, c, g, k in zip(sample["index"], sample["counts"], sample["lang"], sample["k"], strict=True) if len(i)]
     learner = Ftrl(len(langs), alpha, beta, l1, l2)
     ready = [(np.append(i, N_FEATURES), np.append(weights_of(c, idf[i]), 1.0), y, k) for i, c, y, k in sample]

@@ -8,8 +8,6 @@ import numpy as np
 
 from corpuscle.llm import _arrays as A
 
-_OTHER_BYTES = A._byte_table(0x243F6A88)
-
 
 class PretokenIds:
     """A bounded store of the ids of pre-tokens; encode gets those that are missing, all at once."""
@@ -54,7 +52,11 @@ class PretokenIds:
 
 
 class PartIds:
-    """A bounded store of the ids of byte strings, told apart by two 64-bit hashes, held in arrays alone."""
+    """A bounded store of the ids of byte strings, held in arrays alone.
+
+    Strings are told apart by two independent 64-bit hashes. One whose first hash
+    is that of another string is encoded by itself and not stored.
+    """
 
     def __init__(self, most: int) -> None:
         self.most = most
@@ -72,10 +74,8 @@ class PartIds:
         """
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        one, two = A.SpanHash(data)(start, end), A.SpanHash(data, _OTHER_BYTES)(start, end)
+        one, two = self._hashes(data, start, end)
         distinct, first, back = np.unique(one, return_index=True, return_inverse=True)
-        if (two != two[first][back]).any():
-            raise ValueError("two parts have one hash")
         new = np.ones(len(distinct), dtype=bool)
         if len(self.known):
             place = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
@@ -93,8 +93,17 @@ class PartIds:
             self.at = np.insert(self.at, place, part)
             self.check = np.insert(self.check, place, two[first[new]])
         place = np.searchsorted(self.known, distinct)
-        if (self.check[place] != two[first]).any():
-            raise ValueError("two parts have one hash")
         part = self.at[place][back]
         size = self.ptr[part + 1] - self.ptr[part]
-        return self.flat[A.ragged(self.ptr[part], size)], size
+        other = np.flatnonzero(self.check[place][back] != two)  # strings of one hash
+        if not len(other):
+            return self.flat[A.ragged(self.ptr[part], size)], size
+        ids, size[other] = encode(other)
+        out, ends = np.empty(int(size.sum()), np.int64), np.cumsum(size)
+        plain = np.setdiff1d(np.arange(len(part)), other)
+        out[A.ragged((ends - size)[plain], size[plain])] = self.flat[A.ragged(self.ptr[part[plain]], size[plain])]
+        out[A.ragged((ends - size)[other], size[other])] = ids
+        return out, size
+
+    def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return A.span_hashes(data, start, end), A.span_hashes(data, start, end, 1)

@@ -2,8 +2,10 @@
 
 Texts are encoded, ended by one id, and cut into chunks where a rolling hash of
 the last ids says so; a chunk is named by a 128-bit digest of its ids and stored
-once. A recipe lists the chunks of a document and the digest of that list; a
-manifest row digests the recipes of one bucket of ascending doc_id. All three
+once. A recipe lists the chunks of a document and the digest of that list. The
+manifest is a Merkle tree over the recipes of each bucket of ascending doc_id: a
+node digests up to FAN recipes or nodes below it, and one root digests the tops of
+all buckets, so that no group that is digested at once grows with the data. All
 are Parquet tables, so the store lives wherever Spark can write.
 """
 
@@ -30,9 +32,7 @@ from corpuscle.llm import _arrays as A
 from corpuscle.llm.pretokens import PartIds
 
 U64 = np.uint64
-WINDOW, MEAN_BITS, LONGEST = 4, 8, 4096
-#: What each id adds to the rolling hash.
-_ROLL = A.mix(np.arange(1, 65537, dtype=np.uint64) * A.GOLDEN)
+WINDOW, MEAN_BITS, LONGEST, FAN = 4, 8, 4096, 1024
 
 
 class ByteBpe:
@@ -52,6 +52,7 @@ class ByteBpe:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes of each token; its letters stand for bytes
         for token, i in vocab.items():
             self.width[i] = len(token)
+        self.roll = A.mix(np.arange(1, len(self.width) + 1, dtype=np.uint64) * A.GOLDEN)  # what each id adds to the rolling hash
         self.store = PartIds(most)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -133,9 +134,9 @@ def _loaded(spec: str) -> ByteBpe:
     return ByteBpe(spec)
 
 
-def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
-    """Where chunks end in a stream of ids: by content, at the end of documents, and after LONGEST ids."""
-    x = _ROLL[ids]
+def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray, roll: np.ndarray) -> np.ndarray:
+    """Where chunks end in a stream of ids: by content, at the end of documents, and after LONGEST ids; roll has a value for each id."""
+    x = roll[ids]
     h = x.copy()
     for k in range(1, WINDOW):
         h[k:] += x[: len(x) - k] * U64(2 * k + 1)
@@ -149,9 +150,13 @@ def chunk_ends(ids: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     return ends
 
 
-def _ids(packed: bytes) -> np.ndarray:
-    """The ids of a stored chunk."""
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u2")
+def _ids(body: bytes) -> np.ndarray:
+    """The ids of a chunk: its first byte says how wide they are."""
+    return np.frombuffer(body, f"<u{body[0]}", offset=1)
+
+
+def _unpacked(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
 def _digest(*parts: bytes) -> bytes:
@@ -179,19 +184,23 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, met, packer = _loaded(spec.value), set(), zstandard.ZstdCompressor(level=1)
+        if not 0 <= end_id < len(bpe.roll):
+            raise ValueError(f"the end id {end_id} is not in the vocabulary")
+        width = 2 if len(bpe.roll) <= 1 << 16 else 4
+        lead = bytes([width])
         for batch in batches:
             for i, j, data, offs in A.blocks(batch.column(1), 2 << 20):
                 ids, ptr = bpe.encode(data, offs)
                 sizes = np.diff(ptr) + 1
                 doc_ends = np.cumsum(sizes)
-                stream = np.full(int(doc_ends[-1]), end_id, dtype="<u2")
+                stream = np.full(int(doc_ends[-1]), end_id, dtype=f"<u{width}")
                 keep = np.ones(len(stream), dtype=bool)
                 keep[doc_ends - 1] = False
                 stream[keep] = ids
-                ends = chunk_ends(stream, doc_ends)
+                ends = chunk_ends(stream, doc_ends, bpe.roll)
                 raw, a, names, fresh = stream.tobytes(), 0, [], {}
                 for b in ends.tolist():
-                    body = raw[2 * a : 2 * b]
+                    body = lead + raw[width * a : width * b]
                     name = _digest(body)
                     names.append(name)
                     if name not in met and name not in fresh:
@@ -226,27 +235,57 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 def _ordered(recipes: DataFrame, buckets: int) -> DataFrame:
-    """Recipes in ascending doc_id order with bucket and seq, and a manifest row for each bucket (seq = -1)."""
+    """Recipes in ascending doc_id order with bucket and seq, and the nodes of each bucket's tree.
+
+    Of a node seq is minus its level (1: above recipes), doc_id its place in the
+    level, n_tokens that of all below it, and ends the number of recipes below it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, seq, total, merkle = TaskContext.get().partitionId(), 0, 0, hashlib.blake2b(digest_size=16)
+        bucket, seq = TaskContext.get().partitionId(), 0
+        open_nodes: list[list[tuple[bytes, int, int]]] = [[]]  # by level: (digest, tokens, recipes) of children not yet under a node
+        done: list[int] = []
+        nodes: list[dict] = []
+
+        def close(level: int) -> None:
+            """Puts the open children of a level under a node of the next."""
+            if level + 1 == len(open_nodes):
+                open_nodes.append([])
+                done.append(0)
+            children = open_nodes[level]
+            root, tokens, docs = _digest(*(c[0] for c in children)), sum(c[1] for c in children), sum(c[2] for c in children)
+            nodes.append({"bucket": bucket, "seq": -1 - level, "doc_id": done[level], "n_tokens": tokens, "root": root, "chunks": None, "ends": [docs]})
+            done[level] += 1
+            open_nodes[level] = []
+            open_nodes[level + 1].append((root, tokens, docs))
+            if len(open_nodes[level + 1]) == FAN:
+                close(level + 1)
+
         for batch in batches:
             n = batch.num_rows
-            for root in batch.column("root").to_pylist():
-                merkle.update(root)
-            total += int(np.asarray(batch.column("n_tokens")).sum())
+            for root, tokens in zip(batch.column("root").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
+                open_nodes[0].append((root, tokens, 1))
+                if len(open_nodes[0]) == FAN:
+                    close(0)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int32)), pa.array(np.arange(seq, seq + n)), *batch.columns], names=["bucket", "seq", *batch.schema.names])
             seq += n
-        if seq:
-            one = {"bucket": bucket, "seq": -1, "doc_id": seq, "n_tokens": total, "root": merkle.digest(), "chunks": None, "ends": None}
-            yield pa.RecordBatch.from_pylist([one], schema=_RECIPE)
+            if nodes:
+                yield pa.RecordBatch.from_pylist(nodes, schema=_RECIPE)
+                nodes.clear()
+        level = 0
+        while seq and (level == 0 or level + 1 < len(open_nodes) or len(open_nodes[level]) > 1):
+            if open_nodes[level]:
+                close(level)
+            level += 1
+        if nodes:
+            yield pa.RecordBatch.from_pylist(nodes, schema=_RECIPE)
 
     ordered = recipes.select("doc_id", "n_tokens", "root", "chunks", "ends").repartitionByRange(buckets, "doc_id").sortWithinPartitions("doc_id", "root")
     return ordered.mapInArrow(run, "bucket int, seq long, doc_id long, n_tokens long, root binary, chunks array<binary>, ends array<int>")
 
 
 class TokenStore:
-    """Tables ordered (recipes and manifest) and parts (chunks) below one path."""
+    """Tables ordered (recipes and manifest), parts (chunks) and root below one path."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -257,7 +296,9 @@ class TokenStore:
     def write(self, docs: DataFrame, tokenizer: str, end_id: int = 0, buckets: int | None = None) -> TokenStore:
         """Stores (doc_id, text) in ascending doc_id order; a null or empty text is the end id alone.
 
-        Documents of equal doc_id follow each other, those without one come first.
+        Documents of equal doc_id follow each other, those without one come first;
+        repeated rows are documents of their own. A text of any length is cut into
+        chunks of LONGEST ids at most. Other columns, whatever their names, are ignored.
         """
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         buckets = buckets or max(8, docs.rdd.getNumPartitions())
@@ -265,6 +306,7 @@ class TokenStore:
         _staged(docs, tokenizer, end_id).write.options(**packed).parquet(f"{self.path}/parts")
         recipes = self.spark.read.schema(STAGED).parquet(f"{self.path}/parts").where("kind = 'recipe'")
         _ordered(recipes, buckets).write.options(**packed).parquet(f"{self.path}/ordered")
+        self.spark.createDataFrame([self._root()], "n_buckets long, root binary").write.parquet(f"{self.path}/root")
         self._collect_garbage()
         return self
 
@@ -277,8 +319,14 @@ class TokenStore:
         return rows.select(F.col("root").alias("chunk"), "ids")
 
     def manifest(self) -> DataFrame:
-        """(bucket, n_docs, n_tokens, root) in the order of buckets."""
-        return self.table("ordered").where("seq = -1").select("bucket", F.col("doc_id").alias("n_docs"), "n_tokens", "root")
+        """(bucket, n_docs, n_tokens, root): the top of each bucket's tree."""
+        tops = self.table("ordered").where("seq < 0").groupBy("bucket").agg(F.min_by(F.struct("ends", "n_tokens", "root"), "seq").alias("x"))
+        return tops.select("bucket", F.col("x.ends")[0].cast("long").alias("n_docs"), "x.n_tokens", "x.root")
+
+    def _root(self) -> tuple[int, bytes]:
+        """How many buckets there are, and the digest of their tops; buckets are as many as the partitions of a write."""
+        tops = sorted((r["bucket"], bytes(r["root"])) for r in self.manifest().collect())
+        return len(tops), _digest(*(t for _, t in tops))
 
     def _collect_garbage(self) -> None:
         self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of finished jobs
@@ -290,9 +338,10 @@ class TokenStore:
             for batch in batches:
                 names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 sizes, crcs = [], []
-                for name, ids in zip(names, map(_ids, bodies), strict=True):
-                    if _digest(ids.tobytes()) != name:
+                for name, body in zip(names, map(_unpacked, bodies), strict=True):
+                    if _digest(body) != name:
                         raise ValueError(f"chunk {name.hex()} does not have its digest")
+                    ids = _ids(body)
                     sizes.append(len(ids))
                     crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["chunk", "n", "crc"])
@@ -300,42 +349,61 @@ class TokenStore:
         return self.chunks().mapInArrow(run, "chunk binary, n long, crc long")
 
     def verify(self) -> bool:
-        """If every recipe has its digest and every manifest row is that of its recipes in order."""
+        """If recipes have their digests, nodes those of what is below them, and the root that of all buckets."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                good = [_digest(*c) == r for c, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(good)], names=["bucket", "seq", "root", "good"])
+                bucket, seq, tokens, chunks, root, ends = (batch.column(k).to_pylist() for k in range(6))
+                good = [s < 0 or _digest(*c) == r and e[-1] == t and len(c) == len(e) for s, t, c, r, e in zip(seq, tokens, chunks, root, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 6, 2, 4)), pa.array(good)], names=["bucket", "seq", "place", "n_tokens", "root", "good"])
 
         @arrow_udf("binary")
         def merkle(lists: pa.Array) -> pa.Array:
             return pa.array([_digest(*x) for x in lists.to_pylist()], pa.binary())
 
-        rows = self.recipes().select("bucket", "seq", "chunks", "root").mapInArrow(run, "bucket int, seq long, root binary, good boolean")
-        tops = rows.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("seq", "root"))).alias("r"), F.every("good").alias("good"))
-        tops = tops.select("bucket", "good", merkle(F.transform("r", lambda x: x["root"])).alias("top"))
-        joined = self.manifest().join(tops, "bucket", "full").where(~F.coalesce(F.col("good") & (F.col("top") == F.col("root")), F.lit(False)))
-        return not joined.limit(1).count()
+        if tuple(map(lambda r: (r["n_buckets"], bytes(r["root"])), self.table("root").collect())) != (self._root(),):
+            return False
+        place = F.when(F.col("seq") < 0, F.col("doc_id")).otherwise(F.col("seq")).alias("place")
+        rows = self.table("ordered").select("bucket", "seq", "n_tokens", "chunks", "root", "ends", place)
+        rows = rows.mapInArrow(run, "bucket int, seq long, place long, n_tokens long, root binary, good boolean")
+        rows = rows.withColumn("level", F.greatest(F.lit(0), -F.col("seq")))
+        above = rows.groupBy("bucket", (F.col("level") + 1).alias("level"), F.expr(f"place div {FAN}").alias("place")).agg(
+            F.sort_array(F.collect_list(F.struct("place", "root"))).alias("r"), F.sum("n_tokens").alias("below"), F.every("good").alias("good")
+        )
+        above = above.select("bucket", "level", "place", "below", "good", F.size("r").alias("n"), merkle(F.transform("r", lambda x: x["root"])).alias("top"))
+        nodes = rows.where("level > 0").select("bucket", "level", "place", "n_tokens", "root")
+        joined = above.join(nodes, ["bucket", "level", "place"], "full")
+        # what has no node above it: the top of a bucket, which stands alone in its level
+        alone = F.col("root").isNull() & F.col("good") & (F.col("n") == 1) & (F.col("place") == 0) & (F.col("level") > 1)
+        right = F.col("good") & (F.col("top") == F.col("root")) & (F.col("below") == F.col("n_tokens"))
+        return not joined.where(~F.coalesce(alone | F.coalesce(right, F.lit(False)), F.lit(False))).limit(1).count()
 
     def documents(self) -> DataFrame:
-        """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files."""
+        """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files.
+
+        Manifest and recipes are verified first, chunks while they are read; a store
+        with a part that is missing or changed raises an error.
+        """
+        if not self.verify():
+            raise ValueError(f"recipes and manifest of {self.path} don't agree")
         order = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
         offsets = self.manifest().select("bucket", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("offset"))
         recipes = self.recipes()
         within = W.partitionBy("bucket").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-        places = recipes.select("bucket", "seq", "doc_id", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("before")).join(offsets, "bucket")
+        places = recipes.select("bucket", "seq", "doc_id", F.col("n_tokens").alias("stated"), F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("before")).join(offsets, "bucket")
         parts = recipes.select("bucket", "seq", F.col("n_tokens").alias("whole"), F.explode(F.arrays_zip("chunks", "ends")).alias("x"))
         parts = parts.select("bucket", "seq", F.col("x.chunks").alias("chunk"), (4 * (F.col("whole") - F.col("x.ends"))).alias("after"))
         joined = parts.join(self.chunk_digests(), "chunk").select("bucket", "seq", "n", shifted_crc(F.col("crc"), F.col("after")).alias("crc"))
         whole = joined.groupBy("bucket", "seq").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
-        return places.join(whole, ["bucket", "seq"]).select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+        found = F.when(F.col("n_tokens") == F.col("stated"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("chunks of a recipe are missing")).cast("long"))
+        return places.join(whole, ["bucket", "seq"], "left").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), found.alias("n_tokens"), "ids_crc32")
 
     def ids(self, doc_ids: DataFrame) -> DataFrame:
         """(doc_id, ids) of the documents named in doc_ids (doc_id), put together from their chunks."""
 
         @arrow_udf("array<int>")
         def unpack(lists: pa.Array) -> pa.Array:
-            return pa.array([np.concatenate(list(map(_ids, x))).astype(np.int32) for x in lists.to_pylist()], pa.list_(pa.int32()))
+            return pa.array([np.concatenate([_ids(_unpacked(c)) for c in x]).astype(np.int32) for x in lists.to_pylist()], pa.list_(pa.int32()))
 
         wanted = self.recipes().join(doc_ids.select("doc_id").distinct(), "doc_id")
         parts = wanted.select("bucket", "seq", "doc_id", F.posexplode("chunks").alias("k", "chunk")).join(self.chunks(), "chunk")
