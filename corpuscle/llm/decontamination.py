@@ -3,8 +3,9 @@
 The benchmark is read in blocks of a fixed number of items. For each block one
 pass over the corpus counts in how many documents each of the block's n-grams
 occurs; an item's seeds are those of its n-grams that occur at all, or the rarest
-share of them. A second pass finds the seeds in the documents and aligns the item
-with the passage around each hit.
+share of them. An item of fewer words has one n-gram of its own length. A second
+pass finds the seeds in the documents and aligns the item with the passage around
+each hit.
 Both passes are maps over the documents: no document is shuffled, and what the
 driver holds is bounded by a block of the benchmark.
 """
@@ -41,7 +42,7 @@ class Block:
     ids: np.ndarray
     words: np.ndarray
     ptr: np.ndarray
-    n: int
+    sizes: list[int]  # of n-grams: n, and the lengths of shorter items
     gram: np.ndarray  # distinct n-grams, ascending
     at_gram: np.ndarray  # of each occurrence: index into gram, item, word position
     at_item: np.ndarray
@@ -52,10 +53,33 @@ class Block:
         column = pa.array([t for _, t in rows], type=pa.large_string())
         data, offs = A.binary_parts(column)
         _, _, hashes, ptr = words(data, offs)
-        grams, gptr = A.shingles(hashes, ptr, n)
+        counts = np.diff(ptr)
+        sizes = sorted({n, *counts[(counts > 0) & (counts < n)].tolist()})
+        grams, items, places = [], [], []
+        for size in sizes:
+            own, gptr = A.shingles(hashes, ptr, size, short_whole=False)
+            item = A.row_of(gptr)
+            keep = counts[item] == size if size < n else counts[item] >= n
+            grams.append(own[keep])
+            items.append(item[keep])
+            places.append((np.arange(len(own)) - gptr[item])[keep])
+        grams, item, place = map(np.concatenate, (grams, items, places))
+        order = np.lexsort((place, item))
+        grams, item, place = grams[order], item[order], place[order]
         distinct, at = np.unique(grams, return_inverse=True)
-        item = A.row_of(gptr)
-        return cls(np.array([i for i, _ in rows], dtype=np.int64), hashes, ptr, n, distinct, at, item, np.arange(len(grams)) - gptr[item])
+        return cls(np.array([i for i, _ in rows], dtype=np.int64), hashes, ptr, sizes, distinct, at, item, place)
+
+    def hits(self, hashes: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, word position, index into self.gram) of the block's n-grams in texts."""
+        rows, places, grams = [], [], []
+        for size in self.sizes:
+            own, gptr = A.shingles(hashes, ptr, size, short_whole=False)
+            at, gram = self.found(own)
+            row = np.searchsorted(gptr, at, side="right") - 1
+            rows.append(row)
+            places.append(at - gptr[row])
+            grams.append(gram)
+        return tuple(map(np.concatenate, (rows, places, grams)))
 
     def found(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into grams, index into self.gram) of those that the block has."""
@@ -120,9 +144,7 @@ def _count(docs: DataFrame, block: Block) -> np.ndarray:
         for batch in batches:
             for _, _, data, offs in A.blocks(batch.column(1), 1 << 20):
                 _, _, hashes, ptr = words(data, offs)
-                grams, gptr = A.shingles(hashes, ptr, own.n)
-                at, gram = own.found(grams)
-                row = np.searchsorted(gptr, at, side="right") - 1
+                row, _, gram = own.hits(hashes, ptr)
                 total += np.bincount(np.unique(row * len(total) + gram) % max(1, len(total)), minlength=len(total))
         A.release()
         some = np.flatnonzero(total)
@@ -134,6 +156,26 @@ def _count(docs: DataFrame, block: Block) -> np.ndarray:
     return out
 
 
+def _diagonals(block: Block, occurrences: np.ndarray, ptr_of: np.ndarray, row: np.ndarray, place: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct (row, item, shift) of all meetings of a hit with an occurrence of its n-gram, in this order.
+
+    A text and an item that repeat one n-gram meet in as many pairs as the product
+    of their repeats, so meetings are expanded in portions and made distinct at once:
+    what is held is bounded by the shifts that there are.
+    """
+    many = ptr_of[gram + 1] - ptr_of[gram]
+    held = np.zeros((0, 3), dtype=np.int64)
+    for some in A._portions(np.flatnonzero(many), many):
+        hit = occurrences[A.ragged(ptr_of[gram[some]], many[some])]
+        met = np.column_stack([np.repeat(row[some], many[some]), block.at_item[hit], np.repeat(place[some], many[some]) - block.at_word[hit]])
+        held = np.concatenate([held, met])
+        held = held[np.lexsort((held[:, 2], held[:, 1], held[:, 0]))]
+        fresh = np.ones(len(held), dtype=bool)
+        fresh[1:] = (held[1:] != held[:-1]).any(axis=1)
+        held = held[fresh]
+    return held[:, 0], held[:, 1], held[:, 2]
+
+
 def _leaks(docs: DataFrame, block: Block, seed: np.ndarray, least_score: float, slack: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((block, seed))
 
@@ -148,15 +190,7 @@ def _leaks(docs: DataFrame, block: Block, seed: np.ndarray, least_score: float,
             ids, out = batch.column(0).cast(pa.int64()).to_pylist(), []
             for first, _, data, offs in A.blocks(batch.column(1), 1 << 20):
                 start, end, hashes, ptr = words(data, offs)
-                grams, gptr = A.shingles(hashes, ptr, own.n)
-                at, gram = own.found(grams)
-                many = ptr_of[gram + 1] - ptr_of[gram]
-                hit = occurrences[A.ragged(ptr_of[gram], many)]
-                at = np.repeat(at, many)
-                row = np.searchsorted(gptr, at, side="right") - 1
-                item, shift = own.at_item[hit], (at - gptr[row]) - own.at_word[hit]
-                order = np.lexsort((shift, item, row))
-                row, item, shift = row[order], item[order], shift[order]
+                row, item, shift = _diagonals(own, occurrences, ptr_of, *own.hits(hashes, ptr))
                 cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(shift) > reach[item[1:]])) + 1
                 for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(row)]]), strict=True):
                     if a == b:
@@ -181,7 +215,7 @@ _ARROW = pa.schema([(x.split()[0], pa.float64() if x.endswith("double") else pa.
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, n: int = 4, seed_share: float = 1.0, least_seeds: int = 8,
+    docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share: float = 1.0, least_seeds: int = 8,
     least_score: float = 0.5, slack: int = 8, block_items: int = 20_000,
 ) -> DataFrame:
     """One row for each (document, benchmark item) that aligns with at least least_score of the item's words.
@@ -192,8 +226,9 @@ def leaks(
     item; it reaches as far as an alignment with least_score can, slack words at the
     least. With seed_share below 1 only the rarest share of the item's n-grams counts.
     Null or empty texts match nothing; items without words and items with a null id
-    are no items; an item shorter than n words is one seed. Rows that repeat a doc_id
-    are one document. Byte offsets are into the text's UTF-8. Other columns of either
+    are no items; an item shorter than n words is looked for as a whole, wherever it
+    stands in a text. Rows that repeat a doc_id are one document, rows that repeat
+    an item_id are one item that is found by the best of its texts. Byte offsets are into the text's UTF-8. Other columns of either
     table are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")

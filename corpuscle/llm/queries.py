@@ -25,7 +25,7 @@ def tokenizer(name: str) -> str:
 
 def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each page, written to archives and read back."""
-    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0).drop("archive")
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op9_temporal_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     captures = pages.withColumn("fetched", F.expr("date_add(date'2024-01-01', cast(page_id * 7 % 365 as int))"))
     out = url_filters.judged(captures, dated_lists(captures))
-    return out.withColumns({c: F.col(c).cast("string") for c in ("fetched", "valid_from")})
+    return out.withColumns({c: F.col(c).cast("date").cast("string") for c in ("fetched", "valid_from")})
 
 
 def dated_lists(captures: DataFrame) -> DataFrame:

@@ -4,22 +4,29 @@ An archive is a ZIP file of stored members: ``archive/data.warc.gz`` (one gzip
 member a record) and ``indexes/index.cdxj`` (a line for each record with its
 offset and length). The reader parses the end records and the central directory,
 ZIP64 forms included, finds where the stored members lie, and reads records by
-offset. A table of archives has a row for each archive, so it can be written by
-Spark to any store.
+offset; it takes any number of data members and indexes, whatever their names. A
+table of archives has a row for each archive, so it can be written by Spark to any
+store; archives that are files are read in place by ranges.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, contextmanager
+from itertools import groupby
+from typing import NamedTuple
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm._spark import Tables
@@ -54,8 +61,21 @@ def zip_stored(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
     return b"".join([*out, directory, tail])
 
 
+class Member(NamedTuple):
+    """Where the bytes of a member lie in its archive, and if they are stored as they are (method 0)."""
+
+    offset: int
+    size: int
+    method: int
+
+
 def zip_directory(read_at: ReadAt, size: int) -> dict[str, tuple[int, int]]:
     """Name -> (offset, size) of the stored members of a ZIP file, from its central directory."""
+    return {name: (m.offset, m.size) for name, m in zip_members(read_at, size).items() if m.method == 0}
+
+
+def zip_members(read_at: ReadAt, size: int) -> dict[str, Member]:
+    """All members of a ZIP file by name, from its central directory; ZIP64 forms are read where they are used."""
     tail_at = max(0, size - 65_557)
     tail = read_at(tail_at, size - tail_at)
     k = tail.rfind(b"PK\5\6")
@@ -87,11 +107,10 @@ def zip_directory(read_at: ReadAt, size: int) -> dict[str, tuple[int, int]]:
                 packed = next(values) if packed == _FULL32 else packed
                 local = next(values) if local == _FULL32 else local
             extra = extra[4 + width :]
-        if method == 0:
-            head = read_at(local, 30)
-            if head[:4] != b"PK\3\4":
-                raise ValueError("no local header where the directory says")
-            out[name] = (local + 30 + sum(struct.unpack("<HH", head[26:30])), packed)
+        head = read_at(local, 30)
+        if head[:4] != b"PK\3\4":
+            raise ValueError("no local header where the directory says")
+        out[name] = Member(local + 30 + sum(struct.unpack("<HH", head[26:30])), packed, method)
         p += 46 + n_name + n_extra + n_comment
     return out
 
@@ -115,21 +134,55 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
 
 
 def parse_record(packed: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers, payload) of one gzip member; the payload is the body after its HTTP header."""
-    raw = zlib.decompress(packed, 31)
+    """(headers by lower-case name, payload) of one record, a gzip member or plain; the payload of an HTTP body is what follows its header."""
+    raw = zlib.decompressobj(31).decompress(packed) if packed[:2] == b"\x1f\x8b" else packed
     head, _, rest = raw.partition(b"\r\n\r\n")
-    headers = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
-    body = rest[: int(headers["Content-Length"])]
-    return headers, body.partition(b"\r\n\r\n")[2]
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8").split("\r\n")[1:])}
+    body = rest[: int(headers["content-length"])]
+    return headers, body.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else body
+
+
+def index_lines(read_at: ReadAt, members: dict[str, Member]) -> Iterator[dict]:
+    """The entries of every CDXJ index of an archive (plain, gzip or deflated members below indexes/), offsets as numbers."""
+    for name in sorted(n for n in members if n.startswith("indexes/") and re.search(r"\.cdxj?(\.gz)?$", n)):
+        at, size, method = members[name]
+        raw = read_at(at, size)
+        if method == 8:
+            raw = zlib.decompressobj(-15).decompress(raw)
+        if raw[:2] == b"\x1f\x8b":
+            raw = gzip.decompress(raw)
+        for line in raw.decode("utf-8").splitlines():
+            start = line.find("{")
+            if start >= 0 and not line.startswith("!"):
+                entry = json.loads(line[start:])
+                if "offset" in entry and "length" in entry:
+                    yield entry | {"offset": int(entry["offset"]), "length": int(entry["length"])}
+
+
+def record_ranges(read_at: ReadAt, size: int) -> Iterator[tuple[dict, int, int]]:
+    """(index entry, offset, length) of every indexed record of an archive, offsets being those in the archive file.
+
+    An entry's filename names its data member, with or without its folder; it may
+    be left out where there is but one. Data members must be stored: a packed one
+    has no ranges, and records that lie in it raise an error.
+    """
+    members = zip_members(read_at, size)
+    data = {n: m for n, m in members.items() if re.search(r"\.warc(\.gz)?$", n)}
+    short = {n.rsplit("/", 1)[-1]: m for n, m in data.items()}
+    for entry in index_lines(read_at, members):
+        name = entry.get("filename")
+        member = data.get(name) or short.get((name or "").rsplit("/", 1)[-1]) or (next(iter(data.values())) if name is None and len(data) == 1 else None)
+        if member is None or member.method != 0:
+            raise ValueError(f"no stored data member {name!r}")
+        if entry["offset"] + entry["length"] > member.size:
+            raise ValueError(f"a record of {name!r} ends beyond it")
+        yield entry, member.offset + entry["offset"], entry["length"]
 
 
 def read_archive(read_at: ReadAt, size: int) -> Iterator[tuple[dict, dict[str, str], bytes]]:
-    """(index line, headers, payload) of every record of an archive, each read by its range."""
-    members = zip_directory(read_at, size)
-    (data, _), (index, length) = members[DATA], members[INDEX]
-    for line in read_at(index, length).decode("utf-8").splitlines():
-        entry = json.loads(line.split(" ", 2)[2])
-        yield entry, *parse_record(read_at(data + entry["offset"], entry["length"]))
+    """(index entry, headers, payload) of every record of an archive, each read by its range."""
+    for entry, at, length in record_ranges(read_at, size):
+        yield entry, *parse_record(read_at(at, length))
 
 
 def archives(tables: Tables, pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 4 << 20, zip64: bool = True) -> DataFrame:
@@ -169,39 +222,97 @@ def archives(tables: Tables, pages: DataFrame, least_bytes: int = 0, archive_byt
     return joined.mapInArrow(run, "name string, n_records long, content binary")
 
 
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, payload binary"
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_id string, refers_to_id string, url string, digest_ok boolean, payload binary"
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
+
+
+def _page(record_id: str | None) -> int | None:
+    """The page of a record that archives() wrote."""
+    inner = (record_id or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(inner) if re.fullmatch(r"-?\d+", inner) else None
+
+
+def _row(name: str, head: dict[str, str], payload: bytes, strict: bool, payloads: bool) -> tuple:
+    kind, digest = head.get("warc-type"), head.get("warc-payload-digest")
+    own = payload_digest(hashlib.sha1(payload).hexdigest()) if kind != "revisit" else None
+    stated = digest.removeprefix("sha1:") if digest and digest.startswith("sha1:") else None
+    good = None if own is None or stated is None else own == stated
+    if strict and good is False:
+        raise ValueError(f"a payload of {name} does not have its digest")
+    size = len(payload) if own is not None else head.get("warc-payload-length")
+    record, refers = head.get("warc-record-id"), head.get("warc-refers-to")
+    return (
+        _page(record), None if size is None else int(size), stated or digest or own, kind, _page(refers) if kind == "revisit" else None, name,
+        record, refers, head.get("warc-target-uri"), good, payload if payloads else None,
+    )
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(_KINDS)
+    return pa.RecordBatch.from_arrays(list(map(pa.array, columns, _KINDS)), names=[f.split()[0] for f in RECORDS.split(", ")])
 
 
-def read_records(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row for each record of (name, content); digests of responses are verified, payloads only returned if asked for."""
+def read_records(archives: DataFrame, payloads: bool = False, strict: bool = True) -> DataFrame:
+    """A row for each record of archives held as rows (name, content), payloads only if asked for.
 
-    def number(text: str) -> int | None:
-        inner = text.removeprefix("<urn:page:").removesuffix(">")
-        return int(inner) if inner else None
+    Digests of payloads are verified; a wrong one raises an error if strict, else
+    digest_ok is false. page_id and refers_to are those of archives that this
+    module wrote and null elsewhere; record_id and refers_to_id are those of any.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                view, out = memoryview(content.as_buffer()), []
-                for _, head, payload in read_archive(lambda at, n, view=view: bytes(view[at : at + n]), len(view)):
-                    digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                    if kind == "response" and payload_digest(hashlib.sha1(payload).hexdigest()) != digest:
-                        raise ValueError(f"a payload of {name.as_py()} does not have its digest")
-                    refers = number(head["WARC-Refers-To"]) if kind == "revisit" else None
-                    out.append((number(head["WARC-Record-ID"]), len(payload) if kind == "response" else int(head["WARC-Payload-Length"]), digest, kind, refers, name.as_py(), payload if payloads else None))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-                columns = list(zip(*out, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), names=[f.split()[0] for f in RECORDS.split(", ")])
+                view = memoryview(content.as_buffer())
+                records = read_archive(lambda at, n, view=view: bytes(view[at : at + n]), len(view))
+                yield _batch([_row(name.as_py(), head, payload, strict, payloads) for _, head, payload in records])
 
     found = archives.select("name", "content").mapInArrow(run, RECORDS)
     return found if payloads else found.drop("payload")
 
 
-def read_archive_files(spark, path: str, payloads: bool = False) -> DataFrame:
-    """read_records of archive files (.wacz, .zip) below a path of any file system that Spark reads."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+#: Opens a path for reading by ranges: a context manager that gives ReadAt.
+Opener = Callable[[str], AbstractContextManager[ReadAt]]
+
+
+@contextmanager
+def open_ranges(path: str) -> Iterator[ReadAt]:
+    """Reads ranges of a file in any store that pyarrow.fs knows by its URI, or of a local path."""
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    with system.open_input_file(inner) as file:
+        yield lambda at, n: file.read_at(n, at)
+
+
+def read_archive_files(spark: SparkSession, path: str, payloads: bool = False, strict: bool = False, opener: Opener = open_ranges, run_bytes: int = 64 << 20) -> DataFrame:
+    """read_records of archive files (.wacz, .zip) below a path, of any size, read by ranges alone.
+
+    Names and sizes come from Spark's listing, which does not open the files. One
+    task an archive reads its directory and index; the records are then dealt out
+    in runs of about run_bytes, so a large archive is read by many tasks.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     files = files.where(F.lower("path").rlike(r"\.(wacz|zip)$"))
-    return read_records(files.select(F.col("path").alias("name"), "content"), payloads)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with opener(name) as read_at:
+                    found = [(name, at, n) for _, at, n in record_ranges(read_at, size)]
+                columns = list(zip(*found, strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "at", "n"])
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for name, run in groupby(places, key=lambda x: x[0]):
+                with opener(name) as read_at:
+                    for _, at, n in run:
+                        yield _batch([_row(name, *parse_record(read_at(at, n)), strict, payloads)])
+
+    places = files.repartition("path").mapInArrow(ranges, "path string, at long, n long")
+    places = places.repartition("path", F.floor(F.col("at") / run_bytes)).sortWithinPartitions("path", "at")
+    found = places.mapInArrow(records, RECORDS)
+    return found if payloads else found.drop("payload")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
