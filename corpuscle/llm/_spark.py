@@ -35,6 +35,10 @@ class Tables:
         self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the finished job
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def is_empty(self, name: str) -> bool:
+        """If a written table has no row."""
+        return not self.spark.read.parquet(f"{self.root}/{name}").limit(1).count()
+
     def drop(self, name: str) -> None:
         """Removes a table on which nothing depends any more."""
         jvm = self.spark._jvm
@@ -42,27 +46,53 @@ class Tables:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+KEY = "_corpuscle_key"
+
+
+def keyed(tables: Tables, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs with a column KEY, one row (doc_id, text) for each key), for operators that cut texts by place.
+
+    KEY is doc_id, so rows that repeat a doc_id and its text are one document. Of
+    an id with several texts only that with the least hash has the key; rows with
+    the others, and rows without a doc_id, have none: they are not documents to be
+    matched and stay as they are.
+    """
+    own, h = F.col("doc_id").cast("long"), F.xxhash64("text")
+    many = docs.select(own.alias("_id"), h.alias("_h")).groupBy("_id").agg(F.count("*").alias("n"), F.min("_h").alias("_h"))
+    many = tables.write(many.where("n > 1 and _id is not null").drop("n"), "repeated-ids")
+    if not many.limit(1).count():
+        docs = docs.withColumn(KEY, own)
+        return docs, docs.where(F.col(KEY).isNotNull()).select(F.col(KEY).alias("doc_id"), "text")
+    columns = docs.columns
+    docs = docs.join(many, own == F.col("_id"), "left").select(*columns, F.when(F.col("_h").isNull() | (F.col("_h") == h), own).alias(KEY))
+    return docs, docs.where(F.col(KEY).isNotNull()).select(F.col(KEY).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+
+
 def components(tables: Tables, edges: DataFrame, name: str = "cc", max_rounds: int = 40) -> DataFrame:
     """(id, component) of every node of edges (a, b); component is the smallest id reachable.
 
     Alternating large-star and small-star rounds. Every round is a pair of
-    shuffled minimum aggregations with map-side combination, so a node with many
-    links is no hot task; the number of rounds grows with the logarithm of the
-    node count. Each round's edges are written to the shared folder.
+    shuffled minimum aggregations with map-side combination, and the minima are
+    written before they are joined, so that the join of a node with many links can
+    be split. The number of rounds grows with the logarithm of the node count.
+    Each round's edges are written to the shared folder.
     """
     hi, lo = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     now = tables.write(edges.where("a <> b").select(hi, lo).distinct(), f"{name}0")
     last = None
     for k in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = tables.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}low{k}")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # small star: a node's smaller neighbours and itself are tied to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = tables.write(large, f"{name}large{k}")
+        least = tables.write(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}least{k}")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         new = tables.write(small, f"{name}{k + 1}")
+        for part in ("low", "large", "least"):
+            tables.drop(f"{name}{part}{k}")
         total = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if total == last or total["n"] == 0:
             now = new

@@ -1,13 +1,20 @@
 """Substring deduplication by paragraphs: banding, verification, and removal by components.
 
-A text is read as words in two layouts. Paragraphs are its lines; those of at
-least near_words words are banded by MinHash over five-word shingles, colliding
-ones are verified by exact Jaccard and grouped by components. Pieces are cut
-inside the text at words that content alone chooses (a word pair whose hash is
-the least of its neighbourhood), so that a passage set into the middle of a
-paragraph is cut alike wherever it stands; equal pieces are one component. Of
-each component the first occurrence stays, in order of doc_id and position. Equal
-runs are then extended word by word against the occurrence that stays.
+It has two passes, the second on what the first has left. In the first, paragraphs
+are the lines of a text: they are banded by MinHash over five-word shingles,
+colliding ones are verified by exact Jaccard and grouped by components, and of each
+component the first line stays, in order of doc_id and position. In the second,
+texts are cut into pieces at words that content alone chooses (in every window the
+word pair of least hash), so that a passage set into the middle of a paragraph is
+cut alike wherever it stands: a repeat of ``2 * window + 1`` words or more always
+holds a whole piece. Of equal pieces the first stays, and the others are extended
+word by word against it, so that a repeat goes from end to end.
+
+As the second pass sees no line that is removed, and each word that it cuts has an
+equal word that stands earlier in what was left, every passage that it removes
+stands in a text that is kept, whole or put together from such words. What is
+compared is always the first occurrence in the corpus, so results do not hang on
+how rows are dealt out.
 """
 
 from __future__ import annotations
@@ -18,142 +25,139 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import _arrays as A
 from corpuscle.llm import superminhash as S
-from corpuscle.llm._spark import Tables
+from corpuscle.llm._spark import KEY, Tables, keyed
 
 U64 = np.uint64
-PIECE, LINE, LONGEST = 0, 1, 40
 LEFT, RIGHT = 0, 1
-UNIT_SCHEMA = "kind int, repeat boolean, doc_id long, word long, n_words long, lo long, hi long, n_shingles long, bands array<long>, of long"
-_ARROW = pa.schema([
-    ("kind", pa.int32()), ("repeat", pa.bool_()), ("doc_id", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64()),
-    ("lo", pa.int64()), ("hi", pa.int64()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("of", pa.int64()),
-])
+LARGEST = U64(0xFFFFFFFFFFFFFFFF)
 
 
 class Layout:
-    """Words of a block of texts, and where its lines and pieces begin."""
+    """Words of a block of texts, lower-cased in A-Z, and where its lines begin."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, reach: int) -> None:
+    def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
         plain = A._LOWER[data]
         self.start, self.end, self.ptr = A.word_spans(plain, offs)
-        self.words = A.SpanHash(plain)(self.start, self.end)
-        n = len(self.words)
-        self.new_line = np.zeros(n, dtype=bool)
-        if n:
+        self.words = A.span_hashes(plain, self.start, self.end)
+        self.heads = self.ptr[:-1][np.diff(self.ptr) > 0]
+        new_line = np.zeros(len(self.words), dtype=bool)
+        if len(new_line):
             breaks = np.concatenate([[0], np.cumsum(data == 10)])
-            self.new_line[1:] = breaks[self.start[1:]] != breaks[self.end[:-1]]
-            self.new_line[self.ptr[:-1][np.diff(self.ptr) > 0]] = True
-        self.lines = np.flatnonzero(self.new_line)
-        key = np.full(n, U64(0xFFFFFFFFFFFFFFFF))
-        if n > 1:
+            new_line[1:] = breaks[self.start[1:]] != breaks[self.end[:-1]]
+            new_line[self.heads] = True
+        self.lines = np.flatnonzero(new_line)
+
+    def line_sizes(self) -> np.ndarray:
+        return np.diff(np.append(self.lines, len(self.words)))
+
+    def pieces(self, window: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, number of words) of the pieces: from one cut to the next, least words if there are so many."""
+        n, counts = len(self.words), np.diff(self.ptr)
+        cuts = self.heads
+        sizes = np.maximum(counts - window + 1, 0)
+        if sizes.sum():
+            key = np.full(n, LARGEST)
             key[1:] = A.mix(self.words[:-1] * U64(3) + self.words[1:])
-        key[self.ptr[:-1][np.diff(self.ptr) > 0]] = U64(0xFFFFFFFFFFFFFFFF)
-        before, after = np.full(n, U64(0xFFFFFFFFFFFFFFFF)), np.full(n, U64(0xFFFFFFFFFFFFFFFF))
-        for d in range(1, reach + 1):
-            before[d:] = np.minimum(before[d:], key[:-d])
-            after[:-d] = np.minimum(after[:-d], key[d:])
-        first = np.zeros(n, dtype=bool)
-        first[self.ptr[:-1][np.diff(self.ptr) > 0]] = True
-        pieces = np.flatnonzero((key < before) & (key <= after) | first)
-        # where no word pair stands out (one word over and over), a piece ends after LONGEST words
-        parts = -(-np.diff(np.append(pieces, n)) // LONGEST)
-        self.pieces = np.repeat(pieces, parts) + LONGEST * A.ragged(np.zeros(len(parts), np.int64), parts)
-
-    def digests(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of words, low, high half of a digest) of the runs of words that begin at first."""
-        n = len(self.words)
-        size = np.diff(np.append(first, n))
-        place = A.mix((np.arange(n) - np.repeat(first, size)).astype(np.uint64) + U64(1))
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(A.mix(self.words * U64(odd) ^ place))]) for odd in (0x2545F4914F6CDD1D, 0x6C62272E07BB0143)]
-        ends = first + size
-        return size, *(A.mix(s[ends] - s[first]) for s in sums)
-
-
-def _sorted_units(parts: list[tuple], keys: list[np.ndarray], bands: int) -> Iterator[pa.RecordBatch]:
-    """Candidates (the first of each digest) and repeats of the units gathered so far."""
-    kind, doc, word, size, lo, hi, sizes, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((word, doc, hi, lo, kind))
-    kind, doc, word, size, lo, hi, sizes, key = (x[order] for x in (kind, doc, word, size, lo, hi, sizes, key))
-    fresh = np.ones(len(kind), dtype=bool)
-    fresh[1:] = (kind[1:] != kind[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-    of = doc[np.maximum.accumulate(np.where(fresh, np.arange(len(kind)), 0))]
-    at = np.flatnonzero(fresh)
-    banded = key[at][key[at] >= 0]
-    values = np.concatenate(keys)[banded].reshape(-1) if len(banded) else np.zeros(0, np.uint64)
-    bptr = np.concatenate([[0], np.cumsum(np.where(key[at] >= 0, bands, 0))])
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(kind[at], pa.int32()), pa.array(np.zeros(len(at), bool)), pa.array(doc[at]), pa.array(word[at]), pa.array(size[at]),
-            pa.array(A.signed(lo[at])), pa.array(A.signed(hi[at])), pa.array(sizes[at]), A.list_column(A.signed(values), bptr, pa.int64()), pa.array(doc[at]),
-        ],
-        schema=_ARROW,
-    )
-    at = word[np.maximum.accumulate(np.where(fresh, np.arange(len(kind)), 0))]
-    kind, doc, word, size, of, shift = kind[~fresh], doc[~fresh], word[~fresh], size[~fresh], of[~fresh], (word - at)[~fresh]
-    if len(doc):  # adjoining repeats of one document and one run of its source as one row; lo is the place there
-        order = np.lexsort((word, shift, kind, of, doc))
-        kind, doc, word, size, of, shift = kind[order], doc[order], word[order], size[order], of[order], shift[order]
-        head = np.ones(len(doc), dtype=bool)
-        head[1:] = (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]) | (shift[1:] != shift[:-1]) | (word[1:] != word[:-1] + size[:-1])
-        at = np.flatnonzero(head)
-        none = np.zeros(len(at), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(kind[at], pa.int32()), pa.array(np.ones(len(at), bool)), pa.array(doc[at]), pa.array(word[at]), pa.array(np.add.reduceat(size, at)),
-                pa.array((word - shift)[at]), pa.array(none), pa.array(none), A.list_column(none[:0], np.zeros(len(at) + 1, np.int64), pa.int64()), pa.array(of[at]),
-            ],
-            schema=_ARROW,
-        )
-
-
-def units(docs: DataFrame, reach: int, least_words: int, near_words: int, n: int, bands: int, rows: int) -> DataFrame:
-    """Pieces and lines of (doc_id, text) with digests, and band keys of lines.
-
-    Within some hundred thousand units only the first occurrence of a digest is a candidate;
-    the others are marked as repeats at once, which keeps a hot passage to one
-    candidate row for so many units.
+            key[self.heads] = LARGEST
+            # the place in the low bits makes the first of equal keys the least
+            low = U64((1 << max(1, int(n).bit_length())) - 1)
+            best = (key & ~low) | np.arange(n, dtype=np.uint64)
+            width = 1
+            while 2 * width <= window:
+                best = np.minimum(best[:-width], best[width:])
+                width *= 2
+            if width < window:
+                best = np.minimum(best[: len(best) - (window - width)], best[window - width :])
+            chosen = best[A.ragged(self.ptr[:-1], sizes)] & low
+            cuts = np.unique(np.concatenate([cuts, chosen.astype(np.int64)]))
+        row_end = np.repeat(self.ptr[1:], counts)[cuts] if n else cuts
+        size = np.minimum(np.append(cuts[1:], n), row_end) - cuts
+        return cuts, np.minimum(np.maximum(size, least), row_end - cuts)
+
+    def digests(self, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(low, high half of a digest) of the runs of words."""
+        lo, hi = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
+        for some in A._portions(np.flatnonzero(size), size):
+            n = size[some]
+            at, place = A.ragged(first[some], n), A.mix(A.ragged(np.zeros(len(some), np.int64), n).astype(np.uint64) + U64(1))
+            heads = np.cumsum(n) - n
+            lo[some], hi[some] = (A.mix(np.add.reduceat(A.mix(self.words[at] * U64(odd) ^ place), heads) + n.astype(np.uint64)) for odd in (0x2545F4914F6CDD1D, 0x6C62272E07BB0143))
+        return lo, hi
+
+
+LINE_SCHEMA = "doc_id long, word long, n_words long, lo long, hi long, n_shingles long, bands array<long>"
+PIECE_SCHEMA = "doc_id long, word long, n_words long, lo long, hi long"
+
+
+def lines(docs: DataFrame, least_words: int, n: int, bands: int, rows: int) -> DataFrame:
+    """The lines of least_words words or more of (doc_id, text): place, size, digest, and band keys.
+
+    Of lines that are equal within a block only the first has band keys. Sets of
+    under four shingles are as near as four fifths to equal sets alone and have one
+    key, that of the first band, in which equal sets always meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0).cast(pa.int64()).fill_null(-1))
-            known = np.asarray(batch.column(0).is_valid())
-            parts, keys, held, n_keys = [], [], 0, 0
+            ids = np.asarray(batch.column(0))
+            for i, j, data, offs in A.blocks(batch.column(1), 1 << 20):
+                own = Layout(data, offs)
+                first, size = own.lines, own.line_sizes()
+                keep = size >= least_words
+                first, size = first[keep], size[keep]
+                lo, hi = own.digests(first, size)
+                row = A.row_of(own.ptr)[first]
+                doc, word = ids[i:j][row], first - own.ptr[row]
+                order = np.lexsort((word, doc, hi, lo))
+                fresh = np.ones(len(lo), dtype=bool)
+                fresh[1:] = (lo[order[1:]] != lo[order[:-1]]) | (hi[order[1:]] != hi[order[:-1]])
+                new = np.sort(order[fresh])
+                values, vptr = A.distinct(*A.shingles(own.words[A.ragged(first[new], size[new])], np.concatenate([[0], np.cumsum(size[new])]), n))
+                keys = S.band_keys(S.signatures(values, vptr, bands * rows), bands, rows)
+                sizes, many = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
+                sizes[new] = np.diff(vptr)
+                many[new] = np.where(sizes[new] < 4, 1, bands)
+                keys = keys[np.arange(bands) < many[new][:, None]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc), pa.array(word), pa.array(size), pa.array(A.signed(lo)), pa.array(A.signed(hi)),
+                        pa.array(sizes), A.list_column(A.signed(keys), np.concatenate([[0], np.cumsum(many)]), pa.int64()),
+                    ],
+                    names=[f.split()[0] for f in LINE_SCHEMA.split(", ")],
+                )
+        A.release()
+
+    return docs.mapInArrow(run, LINE_SCHEMA)
+
+
+def pieces(docs: DataFrame, window: int, least_words: int) -> DataFrame:
+    """The pieces of (doc_id, text): place, size and digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
             for i, j, data, offs in A.blocks(batch.column(1), 1 << 20):
-                own = Layout(data, offs, reach)
-                row = A.row_of(own.ptr)
-                for kind, first in ((PIECE, own.pieces), (LINE, own.lines)):
-                    size, lo, hi = own.digests(first)
-                    keep = (size >= least_words) & known[i:j][row[first]]
-                    at, size, lo, hi = first[keep], size[keep], lo[keep], hi[keep]
-                    key, sizes = np.full(len(at), -1), np.zeros(len(at), np.int64)
-                    long = np.flatnonzero(size >= near_words) if kind == LINE else []
-                    if len(long):
-                        w = own.words[A.ragged(at[long], size[long])]
-                        values, vptr = A.distinct(*A.shingles(w, np.concatenate([[0], np.cumsum(size[long])]), n))
-                        keys.append(S.band_keys(S.signatures(values, vptr, bands * rows), bands, rows))
-                        key[long], sizes[long] = n_keys + np.arange(len(long)), np.diff(vptr)
-                        n_keys += len(long)
-                    parts.append((np.full(len(at), kind, np.int8), ids[i:j][row[at]], at - own.ptr[row[at]], size, lo, hi, sizes, key))
-                    held += len(at)
-                if held >= 150_000:  # bounds the memory of a task, whatever the size of Arrow batches
-                    yield from _sorted_units(parts, keys, bands)
-                    parts, keys, held, n_keys = [], [], 0, 0
-            if held:
-                yield from _sorted_units(parts, keys, bands)
+                own = Layout(data, offs)
+                first, size = own.pieces(window, least_words)
+                keep = size >= least_words
+                first, size = first[keep], size[keep]
+                lo, hi = own.digests(first, size)
+                row = A.row_of(own.ptr)[first]
+                columns = [ids[i:j][row], first - own.ptr[row], size, A.signed(lo), A.signed(hi)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=[f.split()[0] for f in PIECE_SCHEMA.split(", ")])
         A.release()
 
-    return docs.mapInArrow(run, UNIT_SCHEMA)
+    return docs.mapInArrow(run, PIECE_SCHEMA)
 
 
-def _line_sets(docs: DataFrame, firsts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+def _line_sets(docs: DataFrame, items: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(id, shingles) of lines, found again by the document and word where they first occur."""
-    wanted = ids.join(firsts, "id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "n_words", "id"))).alias("lines"))
+    wanted = ids.join(items.select("id", "doc_id", "word", "n_words"), "id").groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words", "id")).alias("lines"))
     held = docs.join(wanted, "doc_id").select("text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,34 +169,46 @@ def _line_sets(docs: DataFrame, firsts: DataFrame, ids: DataFrame, n: int) -> Da
                 first, size = np.array([p[1] for p in picked]), np.array([p[2] for p in picked])
                 values, vptr = A.distinct(*A.shingles(words[A.ragged(first, size)], np.concatenate([[0], np.cumsum(size)]), n))
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in picked], pa.int64()), A.list_column(A.signed(values), vptr, pa.int64())], names=["id", "shingles"])
+        A.release()
 
-    return held.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
+    return held.mapInArrow(run, "id long, shingles array<long>")
 
 
-def removals(tables: Tables, docs: DataFrame, percent: int, n: int, reach: int, least_words: int, near_words: int, miss: float) -> DataFrame:
-    """(doc_id, word, n_words, of, at, whole): runs of words that repeat a kept occurrence in document `of`.
+def _place() -> Column:
+    """Where a unit stands, in the order of the corpus."""
+    return F.struct(F.col("doc_id").alias("d"), F.col("word").alias("w"))
+
+
+def _firsts(tables: Tables, units: DataFrame, name: str) -> DataFrame:
+    """(lo, hi, first): the first place of every digest that occurs more than once."""
+    seen = units.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.min(_place()).alias("first"))
+    return tables.write(seen.where("n > 1").drop("n"), name)
+
+
+def line_removals(tables: Tables, docs: DataFrame, percent: int, n: int, least_words: int, miss: float, rows: int = 2) -> DataFrame:
+    """(doc_id, word, n_words, of): lines that equal or nearly equal a kept line in document `of`."""
+    bands, rows = S.banding(percent / 100, miss, rows)
+    found = tables.write(lines(docs, least_words, n, bands, rows), "lines")
+    firsts = _firsts(tables, found, "line-firsts")
+    marked = found.join(firsts, ["lo", "hi"], "left")
+    alone = F.col("first").isNull() | (_place() == F.col("first"))
+    marked = marked.withColumn("id", F.when(alone & (F.size("bands") > 0), F.monotonically_increasing_id()))
+    marked = tables.write(marked.withColumn("bands", F.when(F.col("id").isNotNull(), F.col("bands"))), "marked")
+    tables.drop("lines")
+    items = marked.where("id is not null")
+    groups = S.grouped(tables, items.select("id", "n_shingles", "bands"), lambda ids: _line_sets(docs, items, ids, n), percent)
+    grouped = groups.join(items.select("id", "lo", "hi", _place().alias("own")), "id")
+    keepers = tables.write(grouped.groupBy("component").agg(F.min("own").alias("kept")), "keepers")
+    moved = tables.write(grouped.join(keepers, "component").where("own > kept").select("lo", "hi", "kept"), "moved")
+    later = marked.join(moved, ["lo", "hi"], "left").withColumn("kept", F.coalesce("kept", "first"))
+    return later.where(_place() > F.col("kept")).select("doc_id", "word", "n_words", F.col("kept.d").alias("of"))
 
-    at is the word where that occurrence begins, null where it is not equal; whole: the run is made of lines.
-    """
-    bands, rows = S.banding(percent / 100, miss, 3)
-    found = tables.write(units(docs, reach, least_words, near_words, n, bands, rows), "units")
-    fresh = found.where("not repeat")
-    place = F.struct(F.col("doc_id").alias("d"), F.col("word").alias("w"))
-    seen = fresh.groupBy("kind", "lo", "hi").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    later = F.struct(F.col("doc_id").alias("d"), F.col("word").alias("w")) > F.col("first")
-    again = fresh.join(seen.where("n > 1"), ["kind", "lo", "hi"]).where(later)
-    whole = (F.col("kind") == LINE).alias("whole")
-    again = again.select("doc_id", "word", "n_words", F.col("first.d").alias("of"), F.col("first.w").alias("at"), whole)
-
-    lines = tables.write(fresh.where(f"kind = {LINE} and n_shingles > 0").groupBy(F.col("lo").alias("id")).agg(F.min(F.struct("doc_id", "word", "n_words", "n_shingles", "bands")).alias("x")), "lines")
-    firsts = lines.select("id", "x.doc_id", "x.word", "x.n_words")
-    groups = S.grouped(tables, lines.select("id", "x.n_shingles", "x.bands"), lambda ids: _line_sets(docs, firsts, ids, n), percent)
-    grouped = groups.join(lines.select("id", F.struct(F.col("x.doc_id").alias("d"), F.col("x.word").alias("w")).alias("first")), "id")
-    keepers = grouped.groupBy("component").agg(F.min("first").alias("first"))
-    keepers = grouped.select("id", "component").join(keepers, "component").select(F.col("id").alias("lo"), "first")
-    near = fresh.where(f"kind = {LINE} and n_shingles > 0").join(keepers, "lo").where(later)
-    near = near.select("doc_id", "word", "n_words", F.col("first.d").alias("of"), F.lit(None).cast("long").alias("at"), whole)
-    return found.where("repeat").select("doc_id", "word", "n_words", "of", F.col("lo").alias("at"), whole).unionByName(again).unionByName(near)
+
+def piece_removals(tables: Tables, docs: DataFrame, window: int, least_words: int) -> DataFrame:
+    """(doc_id, word, n_words, of, at): pieces that equal the first of their kind, at word `at` of document `of`."""
+    found = tables.write(pieces(docs, window, least_words), "pieces")
+    again = found.join(_firsts(tables, found, "piece-firsts"), ["lo", "hi"]).where(_place() > F.col("first"))
+    return again.select("doc_id", "word", "n_words", F.col("first.d").alias("of"), F.col("first.w").alias("at"))
 
 
 def _open_ends(doc: int, spans: list[dict]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -208,21 +224,19 @@ def _open_ends(doc: int, spans: list[dict]) -> Iterator[tuple[int, int, int, int
         return k > 0 and reach[k - 1] > word
 
     for s in spans:
-        if s["at"] is not None:
-            a, b = s["word"], s["word"] + s["n_words"]
-            if a and s["at"] and not covered(a - 1):
-                yield doc, LEFT, a, s["of"], s["at"]
-            if not covered(b):
-                yield doc, RIGHT, b, s["of"], s["at"] + s["n_words"]
+        a, b = s["word"], s["word"] + s["n_words"]
+        if a and s["at"] and not covered(a - 1):
+            yield doc, LEFT, a, s["of"], s["at"]
+        if not covered(b):
+            yield doc, RIGHT, b, s["of"], s["at"] + s["n_words"]
 
 
 def extensions(tables: Tables, docs: DataFrame, spans: DataFrame, context: int) -> DataFrame:
     """(doc_id, ends): of each document with equal runs, [side, edge, words] with the words of the kept occurrence beyond it.
 
     Words are 64-bit hashes, to the left in falling order. Beyond a run, equal text
-    of more than LONGEST words and a neighbourhood holds a whole piece again, which
-    is a run of its own, so context words are enough. Each kept document is read
-    once for all that ask for it.
+    of more than context words holds a whole piece again, which is a run of its own,
+    so context words are enough. Each kept document is read once for all that ask for it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +265,7 @@ def extensions(tables: Tables, docs: DataFrame, spans: DataFrame, context: int)
                 yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(side, pa.int64()), pa.array(place, pa.int64()), pa.array(beyond, pa.binary())], names=["of", "side", "place", "words"])
         A.release()
 
-    beyond = held.mapInArrow(words, "of long, side long, place long, words binary").dropDuplicates(["of", "side", "place"])
+    beyond = tables.write(held.mapInArrow(words, "of long, side long, place long, words binary"), "beyond")
     return edges.join(beyond, ["of", "side", "place"]).groupBy("doc_id").agg(F.collect_list(F.struct("side", "edge", "words")).alias("_ends"))
 
 
@@ -266,7 +280,7 @@ def _extended(text: str, ends: list[dict]) -> list[dict]:
         same = here == there[: len(here)]
         n = len(same) if same.all() else int(same.argmin())
         if n:
-            out.append({"word": x["edge"] if x["side"] == RIGHT else x["edge"] - n, "n_words": n, "whole": False})
+            out.append({"word": x["edge"] if x["side"] == RIGHT else x["edge"] - n, "n_words": n})
     return out
 
 
@@ -277,7 +291,7 @@ def _cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in runs:
         stop = int(start[b]) if b < len(start) else len(text)
-        if b10(text, int(end[b - 1]), stop):
+        if text.find(b"\n", int(end[b - 1]), stop) >= 0:
             stop = int(end[b - 1])
         out.append(text[at : int(start[a])])
         at = stop
@@ -285,65 +299,90 @@ def _cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def b10(text: bytes, a: int, b: int) -> bool:
-    """If a line ends between two places."""
-    return text.find(b"\n", a, b) >= 0
-
-
 def _runs(spans: list[dict], least_run: int) -> list[tuple[int, int]]:
-    """Joined spans as (first, end): those of at least least_run words and those that hold a whole line."""
+    """Joined spans as (first, end), those of at least least_run words."""
     out: list[list[int]] = []
-    for a, b, whole in sorted((s["word"], s["word"] + s["n_words"], s["whole"]) for s in spans):
+    for a, b in sorted((s["word"], s["word"] + s["n_words"]) for s in spans):
         if out and a <= out[-1][1]:
-            out[-1][1:] = max(out[-1][1], b), out[-1][2] or whole
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([a, b, whole])
-    return [(a, b) for a, b, whole in out if whole or b - a >= least_run]
+            out.append([a, b])
+    return [(a, b) for a, b in out if b - a >= least_run]
 
 
-def deduplicated(
-    docs: DataFrame, percent: int = 80, n: int = 5, reach: int = 5, least_words: int = 5, near_words: int = 5,
-    least_run: int = 15, miss: float = 1e-6,
-) -> DataFrame:
-    """All columns of docs with repeated passages cut from text, and n_removed_words, n_spans, linked.
+_ADDED = ("n_removed_words", "n_spans", "linked")
+_COUNTS = "n_removed_words long, n_spans long, linked array<long>"
 
-    linked lists the documents that hold the occurrences that were kept. Lines of at
-    least near_words words go if an earlier line equals or nearly equals them; inside
-    a line, runs of fewer than least_run repeated words stay. Null and empty texts, rows with a
-    null doc_id, and documents without repeats come back unchanged with
-    n_removed_words 0. Rows that repeat a doc_id are one document and are cut
-    alike. A document that only repeats others keeps a row with what is left,
-    perhaps an empty text. Input columns named like the added ones are replaced.
-    """
-    added = ["n_removed_words", "n_spans", "linked"]
-    docs = docs.drop(*added)
-    tables = Tables(docs.sparkSession, "paragraphs")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = tables.write(removals(tables, plain, percent, n, reach, least_words, near_words, miss), "spans")
-    for name in ("units", "lines", "stars", "checked", "more"):
-        tables.drop(name)
-    spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words", "whole", "of", "at")).alias("_spans"), F.array_sort(F.collect_set("of")).alias("linked"))
-    spans = tables.write(spans, "grouped")
-    tables.drop("spans")
-    # a piece has LONGEST words at most, and one of under least_words can come before it
-    spans = spans.join(extensions(tables, plain, spans, LONGEST + reach + least_words), "doc_id", "left")
-    spans = spans.withColumn("_spans", F.transform("_spans", lambda x: F.struct(x["word"].alias("word"), x["n_words"].alias("n_words"), x["whole"].alias("whole"))))
+
+def _without(docs: DataFrame, spans: DataFrame, least_run: int) -> DataFrame:
+    """docs (with KEY and the added columns) without the runs of (doc_id, _spans, _of, _ends), counted in the added columns."""
     columns = docs.columns
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").select(*columns, "_spans", "linked", "_ends")
-    at = columns.index("text")
+    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col(KEY) == F.col("_id"), "left").select(*columns, "_spans", "_of", "_ends")
+    at, added = columns.index("text"), [columns.index(c) for c in _ADDED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, words, counts, linked = batch.column(at).to_pylist(), [], [], []
+            texts = batch.column(at).to_pylist()
+            words, counts, linked = (batch.column(k).to_pylist() for k in added)
             for r, (spans, of, ends) in enumerate(zip(*(batch.column(len(columns) + k).to_pylist() for k in range(3)), strict=True)):
                 runs = _runs(spans + _extended(texts[r], ends or []), least_run) if spans and texts[r] else []
                 if runs:
                     texts[r] = _cut(texts[r].encode("utf-8"), runs).decode("utf-8")
-                words.append(sum(b - a for a, b in runs))
-                counts.append(len(runs))
-                linked.append(of if runs else [])
-            out = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(words, pa.int64()), pa.array(counts, pa.int64()), pa.array(linked, pa.list_(pa.int64()))], names=[*columns, *added])
-
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
-    return joined.mapInArrow(run, ", ".join([*fields, "n_removed_words long", "n_spans long", "linked array<long>"]))
+                    words[r] += sum(b - a for a, b in runs)
+                    counts[r] += len(runs)
+                    linked[r] = sorted({*linked[r], *of})
+            out = list(batch.columns[: len(columns)])
+            for k, values, kind in zip([at, *added], [texts, words, counts, linked], [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True):
+                out[k] = pa.array(values, kind)
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+        A.release()
+
+    return joined.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns))
+
+
+def deduplicated(
+    docs: DataFrame, percent: int = 80, n: int = 5, window: int = 24, least_words: int = 5, least_run: int = 15, miss: float = 1e-6,
+) -> DataFrame:
+    """All columns of docs with repeated passages cut from text, and n_removed_words, n_spans, linked.
+
+    Lines of least_words words or more go if an earlier line equals them or is as
+    near as percent on n-word shingles (a pair at the threshold is missed with
+    probability miss), by components. In what is left, words go that repeat earlier
+    ones in a run of least_run words or more that holds a whole piece, as every run
+    of 2 * window + 1 words does; shorter repeats inside a line stay. linked lists
+    the documents that hold the occurrences that were kept, n_spans counts runs.
+
+    Null and empty texts, rows with a null doc_id, and documents without repeats
+    come back unchanged with n_removed_words 0. Rows that repeat a doc_id and its
+    text are one document and are cut alike; of an id with several texts one takes
+    part and the others stay unchanged. Ties go to the smaller doc_id, then to the
+    earlier place. A document that only repeats others keeps a row with what is
+    left, perhaps an empty text. Input columns named like the added ones are
+    replaced. A text of any length is read whole, by itself if it is longer than a block.
+    """
+    tables = Tables(docs.sparkSession, "paragraphs")
+    docs = docs.drop(*_ADDED)
+    columns = docs.columns
+    whole, used = keyed(tables, docs)
+    whole = whole.withColumns({"n_removed_words": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "linked": F.array().cast("array<long>")})
+    gone = tables.write(line_removals(tables, used, percent, n, least_words, miss), "line-spans")
+    for name in ("marked", "line-firsts", "keepers", "moved"):
+        tables.drop(name)
+    none = F.lit(None).cast("array<struct<side:long,edge:long,words:binary>>").alias("_ends")
+    spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words")).alias("_spans"), F.array_sort(F.collect_set("of")).alias("_of"))
+    left = tables.write(_without(whole, spans.select("*", none), 1), "left")
+    tables.drop("line-spans")
+
+    used = left.where(F.col(KEY).isNotNull()).select(F.col(KEY).alias("doc_id"), "text")
+    if not tables.is_empty("repeated-ids"):
+        used = used.dropDuplicates(["doc_id"])
+    again = tables.write(piece_removals(tables, used, window, least_words), "piece-spans")
+    for name in ("pieces", "piece-firsts"):
+        tables.drop(name)
+    spans = again.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words", "of", "at")).alias("_spans"))
+    spans = tables.write(spans, "grouped")
+    tables.drop("piece-spans")
+    ends = extensions(tables, used, spans, 2 * window + 1 + least_words)
+    plain = F.transform("_spans", lambda x: F.struct(x["word"].alias("word"), x["n_words"].alias("n_words"))).alias("_spans")
+    of = F.array_sort(F.array_distinct(F.transform("_spans", lambda x: x["of"]))).alias("_of")
+    return _without(left, spans.join(ends, "doc_id", "left").select("doc_id", plain, of, "_ends"), least_run).select(*columns, *_ADDED)

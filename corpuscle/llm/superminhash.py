@@ -164,12 +164,16 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     """
     f, cut = percent / (100 + percent), 1 - percent / 100
     spread = items.select("id", F.explode("bands").alias("key"))
-    counts = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # a table that is joined on a key of unbounded groups is written first: between plain
+    # exchanges a join of a hot key can be split, above an aggregation it can not
+    counts = tables.write(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "counts")
     members = tables.write(spread.join(counts, "key"), "members")
     tied = members.join(members.groupBy("id").agg(F.sum("size").alias("links")), "id")
-    centre = tied.groupBy("key").agg(F.max_by("id", F.struct("links", -F.col("id"))).alias("b"))
+    centre = tables.write(tied.groupBy("key").agg(F.max_by("id", F.struct("links", -F.col("id"))).alias("b")), "centres")
+    tables.drop("counts")
     stars = tables.write(members.select("key", F.col("id").alias("a")).join(centre, "key").where("a <> b").select("a", "b").distinct(), "stars")
-    tables.drop("members")
+    for name in ("members", "centres"):
+        tables.drop(name)
     ends = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
     sets = tables.write(sets_of(ends), "sets")
 
@@ -184,6 +188,7 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     around = F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell")
     cells = near.groupBy("b", "cell").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("loose"))
     cells = cells.select("b", around, "n", "loose").groupBy("b", "cell").agg(F.sum("n").alias("n"), F.sum("loose").alias("loose")).where("n > 1 and loose > 0")
+    cells = tables.write(cells, "cells")
     near = near.join(cells.select("b", "cell"), ["b", "cell"], "left_semi")
     delta = F.greatest(F.lit(cut), F.col("d") - cut)
     deficit = F.greatest(F.lit(0.0), f - (1 - delta) / (2 - delta)) * (F.col("n_a") * (percent / 100) + F.col("n_b"))
@@ -194,7 +199,7 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     apart = tables.write(_with_sets(near.select(*facts), sets).select(*facts, apart.alias("apart")), "apart")
     # tokens of a difference in rising order of how many members of the centre have them
     tokens = apart.select(*facts, F.explode("apart").alias("token"))
-    usual = tokens.groupBy("b", "token").agg(F.count("*").alias("n")).where("n > 1")
+    usual = tables.write(tokens.groupBy("b", "token").agg(F.count("*").alias("n")).where("n > 1"), "usual")
     tokens = tokens.join(usual, ["b", "token"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     rank = F.row_number().over(W.partitionBy("b", "a").orderBy("n", "token")) - 1
     tokens = tables.write(tokens.withColumn("rank", rank).where("n > 1 and (not linked or rank < prefix)"), "tokens")
@@ -213,9 +218,8 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     if more.limit(1).count():
         edges = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
         groups = tables.write(components(tables, edges, "cc1-"), "groups1")
-    tables.drop("sets")
-    tables.drop("apart")
-    tables.drop("tokens")
+    for name in ("stars", "checked", "cells", "sets", "apart", "usual", "tokens", "more"):
+        tables.drop(name)
     return groups
 
 

@@ -760,3 +760,107 @@ def test_verdicts_by_the_hour(spark):
     rows = [(1, "http://x.com/", "2024-01-01 06:00:00"), (2, "http://x.com./", "2024-01-01 18:00:00"), (2, "http://x.com./", "2024-01-01 18:00:00"), (3, "http://x.com/", None)]
     captures = spark.createDataFrame(rows, "page_id long, url string, fetched string")
     assert sorted((r["page_id"], r["verdict"]) for r in url_filters.judged(captures, entries).collect()) == [(1, "keep"), (2, "block"), (2, "block"), (3, "keep")]
+
+
+def words_of(text):
+    return [w.lower() for w in (text or "").split()]
+
+
+def passages_corpus(seed, trimmed):
+    """Documents of lines with whole lines, edited lines and passages set into others, some without their ends if trimmed."""
+    rng = random.Random(seed)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"x{next(fresh)}" for _ in range(n)]
+    lines, passages, rows = [new(rng.choice([6, 12, 30, 70])) for _ in range(12)], [new(n) for n in (20, 49, 52, 60, 90, 140)], []
+    for doc in rng.sample(range(1000), 40):
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.35:
+                line = list(rng.choice(lines))
+                if rng.random() < 0.5:
+                    line[rng.choice([0, -1, len(line) // 2])] = f"x{next(fresh)}"
+                text.append(line)
+            elif kind < 0.75:
+                p = rng.choice(passages)
+                a, b = (rng.randint(0, 8), len(p) - rng.randint(0, 8)) if trimmed else (0, len(p))
+                text.append([*new(rng.randint(0, 40)), *p[a:b], *new(rng.randint(0, 40))])
+            else:
+                text.append(new(rng.randint(1, 60)))
+        rows.append((doc, "\n".join(" ".join(x) for x in text)))
+    return rows
+
+
+def brute_lines(rows):
+    """Places (doc, line) of the lines that go: not the first of their component."""
+    lines = [(d, k, words_of(x)) for d, t in sorted(rows) for k, x in enumerate(t.split("\n"))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, _, w in lines]
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(lines)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {(d, k) for i, (d, k, _) in enumerate(lines) if find(i) != i}
+
+
+@pytest.mark.parametrize("trimmed", [False, True])
+def test_paragraph_removals_equal_brute_force(spark, trimmed):
+    """Lines go as all pairs say; then repeats of 49 words go (to the ends they share with the first), and nothing that is no repeat of 15."""
+    rows = passages_corpus(1, trimmed)
+    out = {r["doc_id"]: r for r in paragraphs.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = brute_lines(rows)
+    left = {d: [w for k, x in enumerate(t.split("\n")) if (d, k) not in gone for w in words_of(x)] for d, t in rows}
+    # of what the lines leave: the words of repeats of 49 words go, those of no repeat of 15 words stay
+    must, may = {}, {}
+    for least, marks in ((49, must), (15, may)):
+        seen = set()
+        for d in sorted(left):
+            w, marked = left[d], set()
+            for i in range(len(w) - least + 1):
+                g = tuple(w[i : i + least])
+                if g in seen:
+                    marked |= set(range(i, i + least))
+                seen.add(g)
+            marks[d] = marked
+    for d, w in left.items():
+        kept = words_of(out[d]["text"])
+        at, removed = 0, set()
+        for i, x in enumerate(w):  # words of a document differ, so what is kept is found in order
+            if at < len(kept) and kept[at] == x:
+                at += 1
+            else:
+                removed.add(i)
+        assert at == len(kept) and removed <= may[d]
+        assert len(must[d] - removed) <= 16 * len(must[d]) / 49 if trimmed else must[d] <= removed
+        assert out[d]["n_removed_words"] == len(words_of(dict(rows)[d])) - len(kept)
+
+
+def test_no_passage_is_removed_everywhere(spark):
+    new = lambda name, n: [f"{name}{k}" for k in range(n)]
+    line, passage = new("a", 800), new("q", 80)
+    rows = [(1, " ".join(line)), (2, " ".join([*line[:400], *passage, *line[400:]])), (3, " ".join([*new("b", 100), *passage, *new("c", 100)])), (4, " ".join([*new("d", 100), *passage]))]
+    results = set()
+    for parts in (1, 4, 7):
+        out = paragraphs.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")).collect()
+        results.add(tuple(sorted((r["doc_id"], r["text"], tuple(r["linked"])) for r in out)))
+        assert set(passage) <= {w for r in out for w in words_of(r["text"])}
+    assert len(results) == 1 and {d: of for d, _, of in next(iter(results))} == {1: (), 2: (1,), 3: (), 4: (3,)}
+
+
+def test_texts_that_share_an_id_are_not_cut_by_each_other(spark):
+    text = " ".join(f"w{k}" for k in range(90))
+    rows = [(1, text), (1, text), (1, f"{text[:200]} other {text}"), (2, f"before {text} after"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = paragraphs.deduplicated(docs).collect()
+    assert sorted(r["text"] for r in out if r["doc_id"] == 1) == sorted(t for d, t in rows if d == 1)
+    assert [r["text"] for r in out if r["doc_id"] is None] == [text] and len(out) == 5
+    kept = prefix_free.deduplicated(docs).collect()
+    whole = {bytes(r["kept"]).decode() for r in kept if r["doc_id"] == 1}
+    assert text in whole or f"{text[:200]} other {text}" in whole and len(kept) == 5
