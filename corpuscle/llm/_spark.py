@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +28,15 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = ship(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self._cleaned = time.monotonic()
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Writes df once and returns the written table."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").options(**options).parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of the finished job
+        if time.monotonic() - self._cleaned > 3:  # lets Spark remove the shuffle files of finished jobs
+            self.spark.sparkContext._jvm.System.gc()
+            self._cleaned = time.monotonic()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def is_empty(self, name: str) -> bool:
