@@ -201,6 +201,14 @@ ragged = _ragged
 
 def distinct(values: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct values in ascending order, and the new row pointer."""
+    if len(ptr) > 1 and len(values) < 200 * (len(ptr) - 1):  # many short rows: all are sorted at once
+        row = row_of(ptr)
+        order = np.argsort(values)
+        order = order[np.argsort(row.astype(np.uint16 if len(ptr) <= 1 << 16 else np.int64)[order], kind="stable")]
+        values, row = values[order], row[order]
+        fresh = np.ones(len(values), dtype=bool)
+        fresh[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+        return values[fresh], np.concatenate([[0], np.cumsum(np.bincount(row[fresh], minlength=len(ptr) - 1))])
     out = [np.unique(values[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
     new = np.zeros(len(ptr), dtype=np.int64)
     np.cumsum([len(x) for x in out], out=new[1:])

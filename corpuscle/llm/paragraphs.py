@@ -25,6 +25,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -322,18 +323,24 @@ def _without(docs: DataFrame, spans: DataFrame, least_run: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            words, counts, linked = (batch.column(k).to_pylist() for k in added)
-            for r, (spans, of, ends) in enumerate(zip(*(batch.column(len(columns) + k).to_pylist() for k in range(3)), strict=True)):
-                runs = _runs(spans + _extended(texts[r], ends or []), least_run) if spans and texts[r] else []
+            out, some = list(batch.columns[: len(columns)]), batch.column(len(columns)).is_valid()  # other rows stay in Arrow's hands
+            rows = batch.filter(some)
+            texts = rows.column(at).to_pylist()
+            words, counts, linked = (rows.column(k).to_pylist() for k in added)
+            for r, (spans, of, ends) in enumerate(zip(*(rows.column(len(columns) + k).to_pylist() for k in range(3)), strict=True)):
+                runs = _runs(spans + _extended(texts[r], ends or []), least_run) if texts[r] else []
                 if runs:
                     texts[r] = _cut(texts[r].encode("utf-8"), runs).decode("utf-8")
                     words[r] += sum(b - a for a, b in runs)
                     counts[r] += len(runs)
                     linked[r] = sorted({*linked[r], *of})
-            out = list(batch.columns[: len(columns)])
-            for k, values, kind in zip([at, *added], [texts, words, counts, linked], [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True):
-                out[k] = pa.array(values, kind)
+            if rows.num_rows:
+                for k, values in zip([at, *added[:2]], [texts, words, counts], strict=True):
+                    out[k] = pc.replace_with_mask(out[k], some, pa.array(values, out[k].type))
+                place, new = np.arange(batch.num_rows), np.flatnonzero(np.asarray(some))
+                place[new] = batch.num_rows + np.arange(len(new))
+                lists = pa.concat_arrays([out[added[2]], pa.array(linked, out[added[2]].type)])
+                out[added[2]] = lists.take(pa.array(place))
             yield pa.RecordBatch.from_arrays(out, names=columns)
         A.release()
 

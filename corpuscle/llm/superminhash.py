@@ -160,7 +160,11 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     percent), where deficit(x) > 0 is what x lacks for a link with the centre. So
     a shared element must be among any ``|D_y| - need + 1`` elements of y's
     difference, and x and y meet in a join on those, the least shared ones first.
-    No bucket is expanded into its pairs, and no possible link of one is left out.
+    Before that, items that aren't linked with their centre are compared with a
+    second centre, the best connected of them in a bucket: items that are near each
+    other without being near the centre are one component by then, and elements that
+    only items of one component have need no join. No bucket is expanded into its
+    pairs, and no possible link of one is left out.
     """
     f, cut = percent / (100 + percent), 1 - percent / 100
     spread = items.select("id", F.explode("bands").alias("key"))
@@ -169,17 +173,22 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     counts = tables.write(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "counts")
     members = tables.write(spread.join(counts, "key"), "members")
     tied = members.join(members.groupBy("id").agg(F.sum("size").alias("links")), "id")
-    centre = tables.write(tied.groupBy("key").agg(F.max_by("id", F.struct("links", -F.col("id"))).alias("b")), "centres")
+    best = F.max_by("id", F.struct("links", -F.col("id"))).alias("b")
+    centre = tables.write(tied.groupBy("key").agg(best), "centres")
     tables.drop("counts")
     stars = tables.write(members.select("key", F.col("id").alias("a")).join(centre, "key").where("a <> b").select("a", "b").distinct(), "stars")
-    for name in ("members", "centres"):
-        tables.drop(name)
     ends = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
     sets = tables.write(sets_of(ends), "sets")
 
     link = f"100 * n_both >= {percent} * (n_a + n_b - n_both)"
     checked = tables.write(verified(stars, sets), "checked")
-    edges = checked.where(link).select("a", "b")
+    loose = tables.write(checked.where(f"not ({link})").select(F.col("a").alias("id")).distinct(), "loose")
+    some = tables.write(members.join(loose, "id"), "loose-members")
+    tied = some.join(some.groupBy("id").agg(F.sum("size").alias("links")), "id")
+    centre = tables.write(tied.groupBy("key").agg(best, F.count("*").alias("n")).where("n > 1").drop("n"), "second-centres")
+    again = some.select("key", F.col("id").alias("a")).join(centre, "key").where("a <> b").select("a", "b").distinct()
+    again = again.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    edges = checked.unionByName(tables.write(verified(again, sets), "checked-again")).where(link).select("a", "b")
     groups = tables.write(components(tables, edges, "cc0-"), "groups0")
 
     # members of a centre that can be linked with another member of it: distances differ by cut at most
@@ -198,27 +207,26 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     facts = ["a", "b", "linked", "prefix", "d", "n_a", "n_b", "n_both"]
     apart = tables.write(_with_sets(near.select(*facts), sets).select(*facts, apart.alias("apart")), "apart")
     # tokens of a difference in rising order of how many members of the centre have them
-    tokens = apart.select(*facts, F.explode("apart").alias("token"))
-    usual = tables.write(tokens.groupBy("b", "token").agg(F.count("*").alias("n")).where("n > 1"), "usual")
-    tokens = tokens.join(usual, ["b", "token"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    apart = apart.join(groups.select(F.col("id").alias("a"), F.col("component").alias("of")), "a", "left").withColumn("of", F.coalesce("of", "a"))
+    tokens = apart.select(*facts, "of", F.explode("apart").alias("token"))
+    usual = tokens.groupBy("b", "token").agg(F.count("*").alias("n"), (F.min("of") < F.max("of")).alias("mixed")).where("n > 1")
+    tokens = tokens.join(tables.write(usual, "usual"), ["b", "token"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     rank = F.row_number().over(W.partitionBy("b", "a").orderBy("n", "token")) - 1
-    tokens = tables.write(tokens.withColumn("rank", rank).where("n > 1 and (not linked or rank < prefix)"), "tokens")
-    kept = ["d", "n_a", "n_both"]
+    tokens = tables.write(tokens.withColumn("rank", rank).where("mixed and (not linked or rank < prefix)"), "tokens")
+    kept = ["d", "n_a", "n_both", "of"]
     x = tokens.where("not linked").select("b", "token", F.col("a").alias("x"), *[F.col(c).alias(f"{c}_") for c in kept])
     y = tokens.where("rank < prefix").select("b", "token", "rank", F.col("a").alias("y"), "n_b", *kept)
     least = f * (F.col("n_a_") + F.col("n_b")) - F.col("n_both_") + (1 - f) * (F.col("n_b") - F.col("n_both")) + f * (F.col("n_a") - F.col("n_both"))
     rest = F.col("n_a") + F.col("n_b") - 2 * F.col("n_both") - F.col("rank")
-    same = [x["b"] == y["b"], x["token"] == y["token"], F.col("x") != F.col("y"), rest >= least - 1e-6, F.abs(F.col("d") - F.col("d_")) <= cut + 1e-9]
+    same = [x["b"] == y["b"], x["token"] == y["token"], F.col("of_") != F.col("of"), rest >= least - 1e-6, F.abs(F.col("d") - F.col("d_")) <= cut + 1e-9]
     size = F.least("n_a", "n_a_") * 100 >= F.greatest("n_a", "n_a_") * percent
     met = x.join(y, reduce(and_, [*same, size]))
     todo = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    of = groups.select(F.col("id").alias("a"), F.col("component").alias("ca")), groups.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    todo = todo.join(of[0], "a", "left").join(of[1], "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
     more = tables.write(verified(todo, sets), "more").where(link).select("a", "b")
     if more.limit(1).count():
         edges = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
         groups = tables.write(components(tables, edges, "cc1-"), "groups1")
-    for name in ("stars", "checked", "cells", "sets", "apart", "usual", "tokens", "more"):
+    for name in ("members", "centres", "stars", "loose", "loose-members", "second-centres", "checked", "checked-again", "cells", "sets", "apart", "usual", "tokens", "more"):
         tables.drop(name)
     return groups
 
