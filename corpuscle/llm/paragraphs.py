@@ -186,7 +186,7 @@ def _firsts(tables: Tables, units: DataFrame, name: str) -> DataFrame:
     return tables.write(seen.where("n > 1").drop("n"), name)
 
 
-def line_removals(tables: Tables, docs: DataFrame, percent: int, n: int, least_words: int, miss: float, rows: int = 2) -> DataFrame:
+def line_removals(tables: Tables, docs: DataFrame, percent: int, n: int, least_words: int, miss: float, rows: int = 3) -> DataFrame:
     """(doc_id, word, n_words, of): lines that equal or nearly equal a kept line in document `of`."""
     bands, rows = S.banding(percent / 100, miss, rows)
     found = tables.write(lines(docs, least_words, n, bands, rows), "lines")
