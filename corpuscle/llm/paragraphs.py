@@ -19,9 +19,7 @@ how rows are dealt out.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -212,24 +210,18 @@ def piece_removals(tables: Tables, docs: DataFrame, window: int, least_words: in
     return again.select("doc_id", "word", "n_words", F.col("first.d").alias("of"), F.col("first.w").alias("at"))
 
 
-def _open_ends(doc: int, spans: list[dict]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(doc, side, edge, of, place) of the ends of equal runs that no other run covers.
+def _merged(row: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of rows, sorted by (row, first), joined where they touch: (run of each span, row, first, end of each run)."""
+    reach, head = np.maximum.accumulate(end), np.ones(len(first), dtype=bool)
+    head[1:] = (first[1:] > reach[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(head)
+    return np.cumsum(head) - 1, row[at], first[at], np.maximum.reduceat(end, at) if len(at) else end
 
-    The words from edge on (to the left: before it) are to be compared with those from place in document of.
-    """
-    ends = sorted((s["word"], s["word"] + s["n_words"]) for s in spans)
-    starts, reach = [a for a, _ in ends], list(accumulate((b for _, b in ends), max))
-
-    def covered(word: int) -> bool:
-        k = bisect_right(starts, word)
-        return k > 0 and reach[k - 1] > word
 
-    for s in spans:
-        a, b = s["word"], s["word"] + s["n_words"]
-        if a and s["at"] and not covered(a - 1):
-            yield doc, LEFT, a, s["of"], s["at"]
-        if not covered(b):
-            yield doc, RIGHT, b, s["of"], s["at"] + s["n_words"]
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
+    """(row of each element, the fields) of a column of lists of structs; a null list has no elements."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    return np.repeat(np.arange(len(column)), sizes), list(column.flatten().flatten())
 
 
 def extensions(tables: Tables, docs: DataFrame, spans: DataFrame, context: int) -> DataFrame:
@@ -242,8 +234,19 @@ def extensions(tables: Tables, docs: DataFrame, spans: DataFrame, context: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {e for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e in _open_ends(d, x)}
-            columns = list(zip(*found, strict=True)) or [[]] * 5
+            row, fields = _flat(batch.column(1))
+            word, size, of, at = map(np.asarray, fields)
+            order = np.lexsort((word, row))
+            row, word, size, of, at = row[order], word[order], size[order], of[order], at[order]
+            base = row * (1 << 40)  # keeps the words of rows apart
+            run_of, _, first, end = _merged(row, base + word, base + word + size)
+            ids = np.asarray(batch.column(0))[row]
+            left = (base + word == first[run_of]) & (word > 0) & (at > 0)
+            right = base + word + size == end[run_of]
+            columns = [
+                np.concatenate([ids[left], ids[right]]), np.repeat([LEFT, RIGHT], [left.sum(), right.sum()]), np.concatenate([word[left], (word + size)[right]]),
+                np.concatenate([of[left], of[right]]), np.concatenate([at[left], (at + size)[right]]),
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "side", "edge", "of", "place"])
 
     edges = tables.write(spans.select("doc_id", "_spans").mapInArrow(run, "doc_id long, side long, edge long, of long, place long"), "edges")
@@ -270,45 +273,37 @@ def extensions(tables: Tables, docs: DataFrame, spans: DataFrame, context: int)
     return edges.join(beyond, ["of", "side", "place"]).groupBy("doc_id").agg(F.collect_list(F.struct("side", "edge", "words")).alias("_ends"))
 
 
-def _extended(text: str, ends: list[dict]) -> list[dict]:
-    """The spans by which equal runs of a text go on."""
-    data, offs = A.binary_parts(pa.array([text], pa.large_string()))
-    own, _ = A.word_hashes(data, offs)
-    out = []
-    for x in ends:
-        there = np.frombuffer(x["words"], dtype=np.uint64)
-        here = own[x["edge"] :][: len(there)] if x["side"] == RIGHT else own[max(0, x["edge"] - len(there)) : x["edge"]][::-1]
-        same = here == there[: len(here)]
-        n = len(same) if same.all() else int(same.argmin())
-        if n:
-            out.append({"word": x["edge"] if x["side"] == RIGHT else x["edge"] - n, "n_words": n})
-    return out
-
-
-def _cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
-    """The text without the runs of words [first, end); the white space after a run goes with it unless it breaks the line."""
-    data = np.frombuffer(text, dtype=np.uint8)
-    start, end, _ = A.word_spans(data, np.array([0, len(data)]))
-    out, at = [], 0
-    for a, b in runs:
-        stop = int(start[b]) if b < len(start) else len(text)
-        if text.find(b"\n", int(end[b - 1]), stop) >= 0:
-            stop = int(end[b - 1])
-        out.append(text[at : int(start[a])])
-        at = stop
-    out.append(text[at:])
-    return b"".join(out)
-
-
-def _runs(spans: list[dict], least_run: int) -> list[tuple[int, int]]:
-    """Joined spans as (first, end), those of at least least_run words."""
-    out: list[list[int]] = []
-    for a, b in sorted((s["word"], s["word"] + s["n_words"]) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out if b - a >= least_run]
+def _extended(words: np.ndarray, ptr: np.ndarray, row: np.ndarray, ends: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) in words of the block by which equal runs go on, for each end (side, edge, words of the kept occurrence)."""
+    side, edge = np.asarray(ends[0]), np.asarray(ends[1])
+    data, offs = A.binary_parts(ends[2])
+    there, size = np.frombuffer(data.tobytes(), dtype=np.uint64), np.diff(offs) // 8
+    at, low, high = ptr[row] + edge, ptr[row], ptr[row + 1]
+    size = np.minimum(size, np.where(side == RIGHT, high - at, at - low))
+    k = A.ragged(np.zeros(len(size), np.int64), size)
+    step = np.repeat(np.where(side == RIGHT, 1, -1), size)
+    here = words[np.repeat(np.where(side == RIGHT, at, at - 1), size) + step * k]
+    same, n = here == there[np.repeat(offs[:-1] // 8, size) + k], size.copy()
+    some = np.flatnonzero(size)
+    if len(some):
+        heads = np.cumsum(size[some]) - size[some]
+        n[some] = np.minimum.reduceat(np.where(same, np.repeat(size, size), k), heads)
+    return np.where(side == RIGHT, at, at - n), np.where(side == RIGHT, at + n, at)
+
+
+def _cut(data: np.ndarray, offs: np.ndarray, row: np.ndarray, first: np.ndarray, end: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a block without runs of words; the white space after a run goes with it unless it breaks the line."""
+    last = layout.end[end - 1]
+    inside = end < layout.ptr[row + 1]
+    stop = offs[row + 1].copy()
+    stop[inside] = layout.start[end[inside]]
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    stop = np.where(breaks[stop] > breaks[last], last, stop)
+    edges = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(edges, layout.start[first], 1)
+    np.add.at(edges, stop, -1)
+    keep = np.cumsum(edges[:-1]) == 0
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offs]
 
 
 _ADDED = ("n_removed_words", "n_spans", "linked")
@@ -323,23 +318,37 @@ def _without(docs: DataFrame, spans: DataFrame, least_run: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, some = list(batch.columns[: len(columns)]), batch.column(len(columns)).is_valid()  # other rows stay in Arrow's hands
+            out, some = list(batch.columns[: len(columns)]), batch.column(len(columns)).is_valid()  # other rows stay as they are
             rows = batch.filter(some)
-            texts = rows.column(at).to_pylist()
-            words, counts, linked = (rows.column(k).to_pylist() for k in added)
-            for r, (spans, of, ends) in enumerate(zip(*(rows.column(len(columns) + k).to_pylist() for k in range(3)), strict=True)):
-                runs = _runs(spans + _extended(texts[r], ends or []), least_run) if texts[r] else []
-                if runs:
-                    texts[r] = _cut(texts[r].encode("utf-8"), runs).decode("utf-8")
-                    words[r] += sum(b - a for a, b in runs)
-                    counts[r] += len(runs)
-                    linked[r] = sorted({*linked[r], *of})
+            texts, words, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j, data, offs in A.blocks(rows.column(at), 1 << 20):
+                own = Layout(data, offs)
+                row, (word, size) = _flat(rows.column(len(columns)).slice(i, j - i))
+                first = own.ptr[row] + np.asarray(word)
+                end = first + np.asarray(size)
+                ends_row, ends = _flat(rows.column(len(columns) + 2).slice(i, j - i))
+                if len(ends_row):
+                    more = _extended(own.words, own.ptr, ends_row, ends)
+                    row, first, end = np.concatenate([row, ends_row]), np.concatenate([first, more[0]]), np.concatenate([end, more[1]])
+                order = np.lexsort((first, row))
+                _, row, first, end = _merged(row[order], first[order], end[order])
+                keep = (end - first >= least_run) & (end > first)
+                row, first, end = row[keep], first[keep], end[keep]
+                cut, new = _cut(data, offs, row, first, end, own) if len(row) else (data, offs)
+                texts.append(pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(np.ascontiguousarray(new, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(cut))]))
+                words.append(np.bincount(row, weights=end - first, minlength=j - i).astype(np.int64))
+                counts.append(np.bincount(row, minlength=j - i))
             if rows.num_rows:
-                for k, values in zip([at, *added[:2]], [texts, words, counts], strict=True):
-                    out[k] = pc.replace_with_mask(out[k], some, pa.array(values, out[k].type))
-                place, new = np.arange(batch.num_rows), np.flatnonzero(np.asarray(some))
-                place[new] = batch.num_rows + np.arange(len(new))
-                lists = pa.concat_arrays([out[added[2]], pa.array(linked, out[added[2]].type)])
+                words, counts = np.concatenate(words), np.concatenate(counts)
+                new = pa.concat_arrays(texts).cast(pa.large_string()).cast(out[at].type)
+                out[at] = pc.replace_with_mask(out[at], some, pc.if_else(rows.column(at).is_valid(), new, None))
+                for k, values in zip(added[:2], (words, counts), strict=True):
+                    out[k] = pc.replace_with_mask(out[k], some, pc.add(rows.column(k), pa.array(values)))
+                changed = np.flatnonzero(counts)
+                old, of = (rows.column(k).take(pa.array(changed)).to_pylist() for k in (added[2], len(columns) + 1))
+                place = np.arange(batch.num_rows)
+                place[np.flatnonzero(np.asarray(some))[changed]] = batch.num_rows + np.arange(len(changed))
+                lists = pa.concat_arrays([out[added[2]], pa.array([sorted({*x, *y}) for x, y in zip(old, of, strict=True)], out[added[2]].type)])
                 out[added[2]] = lists.take(pa.array(place))
             yield pa.RecordBatch.from_arrays(out, names=columns)
         A.release()
