@@ -129,10 +129,11 @@ def substituted(text: Column) -> Column:
 
 
 def heading_context(line: Column) -> Column:
-    """If a line reads as a heading: a structural word, a deep indent, or a short lone numeral."""
-    keyword = line.rlike(r"(?i)\b(chapter|part|book|letter|act|scene)\s+")
-    indented = line.rlike(r"^\s{10,}") & (F.length(F.trim(line)) < 50)
-    lone = (F.length(F.trim(line)) <= 10) & F.trim(line).rlike(r"^[IVXLCDMTl1]+\.?$")
+    """If a line reads as a heading: it begins with a structural word, is short and deeply indented, or a lone numeral, perhaps a misread one."""
+    inner = F.regexp_replace(line, r"^\s+|\s+$", "")
+    keyword = inner.rlike(r"(?i)^(chapter|part|book|letter|act|scene)\s+")
+    indented = line.rlike(r"^\s{10,}\S") & (F.length(inner) < 50)
+    lone = (F.length(inner) <= 10) & (inner.rlike(r"(?i)^[IVXLCDMTl1]+\.?$") | F.upper(inner).isin(*(w.upper() for w in ROMAN_ERRORS)))
     return keyword | indented | lone
 
 

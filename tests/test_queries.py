@@ -8,6 +8,8 @@ from corpuscle.plans import catalog
 from tests.oracle import compare, connection
 
 SF = "/root/testdata/sf0.001"
+#: Queries that may find nothing in the smallest tables.
+RARE: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -17,9 +19,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(spark, con, name):
-    compare(catalog.QUERIES[name](spark, SF), con, catalog.SQL[name])
+    assert compare(catalog.QUERIES[name](spark, SF), con, catalog.SQL[name]) > 0 or name in RARE
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_gives_rows(spark, name):
-    assert catalog.QUERIES[name](spark, SF).limit(1).count() >= 0
+    assert catalog.QUERIES[name](spark, SF).limit(1).count() == 1 or name in RARE
