@@ -64,7 +64,7 @@ class PartIds:
 
     def _clear(self) -> None:
         self.known, self.at, self.check = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)  # hashes in order, and their parts
-        self.flat, self.ptr = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.flat, self.ptr = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all parts data[start:end], their number for each part).
@@ -73,7 +73,7 @@ class PartIds:
         array and the number of each. A full store starts anew.
         """
         if not len(start):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         one, two = self._hashes(data, start, end)
         distinct, first, back = np.unique(one, return_index=True, return_inverse=True)
         new = np.ones(len(distinct), dtype=bool)
@@ -86,7 +86,7 @@ class PartIds:
         if new.any():
             ids, counts = encode(first[new])
             part = len(self.ptr) - 1 + np.arange(len(counts))
-            self.flat = np.concatenate([self.flat, ids])
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
             self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(counts)])
             place = np.searchsorted(self.known, distinct[new])
             self.known = np.insert(self.known, place, distinct[new])
@@ -99,7 +99,7 @@ class PartIds:
         if not len(other):
             return self.flat[A.ragged(self.ptr[part], size)], size
         ids, size[other] = encode(other)
-        out, ends = np.empty(int(size.sum()), np.int64), np.cumsum(size)
+        out, ends = np.empty(int(size.sum()), np.int32), np.cumsum(size)
         plain = np.setdiff1d(np.arange(len(part)), other)
         out[A.ragged((ends - size)[plain], size[plain])] = self.flat[A.ragged(self.ptr[part[plain]], size[plain])]
         out[A.ragged((ends - size)[other], size[other])] = ids

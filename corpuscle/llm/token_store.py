@@ -155,10 +155,6 @@ def _ids(body: bytes) -> np.ndarray:
     return np.frombuffer(body, f"<u{body[0]}", offset=1)
 
 
-def _unpacked(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
-
-
 def _digest(*parts: bytes) -> bytes:
     return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
@@ -201,7 +197,7 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 raw, a, names, fresh = stream.tobytes(), 0, [], {}
                 for b in ends.tolist():
                     body = lead + raw[width * a : width * b]
-                    name = _digest(body)
+                    name = hashlib.blake2b(body, digest_size=16).digest()
                     names.append(name)
                     if name not in met and name not in fresh:
                         fresh[name] = packer.compress(body)
@@ -335,11 +331,12 @@ class TokenStore:
         """(chunk, n, crc) of every stored chunk, read and verified against its name; crc is of 32-bit ids."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unpack = zstandard.ZstdDecompressor().decompress
             for batch in batches:
                 names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 sizes, crcs = [], []
-                for name, body in zip(names, map(_unpacked, bodies), strict=True):
-                    if _digest(body) != name:
+                for name, body in zip(names, map(unpack, bodies), strict=True):
+                    if hashlib.blake2b(body, digest_size=16).digest() != name:
                         raise ValueError(f"chunk {name.hex()} does not have its digest")
                     ids = _ids(body)
                     sizes.append(len(ids))
@@ -403,7 +400,8 @@ class TokenStore:
 
         @arrow_udf("array<int>")
         def unpack(lists: pa.Array) -> pa.Array:
-            return pa.array([np.concatenate([_ids(_unpacked(c)) for c in x]).astype(np.int32) for x in lists.to_pylist()], pa.list_(pa.int32()))
+            whole = zstandard.ZstdDecompressor().decompress
+            return pa.array([np.concatenate([_ids(whole(c)) for c in x]).astype(np.int32) for x in lists.to_pylist()], pa.list_(pa.int32()))
 
         wanted = self.recipes().join(doc_ids.select("doc_id").distinct(), "doc_id")
         parts = wanted.select("bucket", "seq", "doc_id", F.posexplode("chunks").alias("k", "chunk")).join(self.chunks(), "chunk")
