@@ -103,6 +103,18 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     return mix(out ^ mix(size.astype(np.uint64) * GOLDEN + key))
 
 
+def span_identities(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """span_hashes, and a second value: of spans of eight bytes or fewer the bytes themselves with their number, else an independent hash."""
+    first, size = span_hashes(data, start, end), np.asarray(end - start)
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    second = (eight[start] & _TAIL[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * GOLDEN)
+    long = np.flatnonzero(size > 8)
+    second[long] = span_hashes(data, start[long], end[long], 1)
+    return first, second
+
+
 def _portions(rows: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
     """The rows in runs of about most units of size, so that work arrays stay bounded."""
     total = np.cumsum(size[rows])

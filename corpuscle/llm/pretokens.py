@@ -106,4 +106,4 @@ class PartIds:
         return out, size
 
     def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return A.span_hashes(data, start, end), A.span_hashes(data, start, end, 1)
+        return A.span_identities(data, start, end)
