@@ -173,13 +173,13 @@ R.add(
 )
 
 
-def _graph(s: SparkSession, d: str, orders: str = "true") -> DataFrame:
-    return s.read.parquet(f"{d}/orders.parquet").where(orders).select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1500).alias("b"))
+def _graph(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1500).alias("b"))
 
 
-_CC = """e AS (SELECT o_custkey AS a, o_orderkey % 1500 AS b FROM orders WHERE o_orderkey % 9 = 0), x AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+_CC = """e AS (SELECT o_custkey AS a, o_orderkey % 1500 AS b FROM orders), x AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
   c AS (SELECT a AS id, a AS c FROM x UNION SELECT x.b AS id, c.c FROM c JOIN x ON x.a = c.id), cc AS (SELECT id, min(c) AS component FROM c GROUP BY 1)"""
-R.add("identity_components", lambda s, d: G.components(_graph(s, d, "o_orderkey % 9 = 0")), f"WITH RECURSIVE {_CC} SELECT id, component FROM cc")
+R.add("identity_components", lambda s, d: G.components(_graph(s, d)), f"WITH RECURSIVE {_CC} SELECT id, component FROM cc")
 R.add(
     "weighted_edges",
     lambda s, d: G.weighted(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1500).alias("b"), _pick([*G.WEIGHTS, "other"], "o_orderkey").alias("kind"), F.when(F.col("o_orderkey") % 3 == 0, F.lit(0.25)).alias("weight")), s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))),
