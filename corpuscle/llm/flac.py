@@ -142,7 +142,10 @@ def encode(payload: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], list[np.
     psize = np.repeat(size // parts, parts)
     pcount = np.add.reduceat(coded.astype(np.int64), pfirst)
     mean = np.add.reduceat(zigzag, pfirst) / np.maximum(1, pcount)
-    rice = np.clip(np.floor(np.log2(np.maximum(1.0, mean * 0.7))), 0, 14).astype(np.int64)
+    about = np.clip(np.floor(np.log2(np.maximum(1.0, mean * 0.7))), 0, 14).astype(np.int64)
+    near = np.clip(about + np.array([[0], [-1], [1]]), 0, 14)  # of these the one of the fewest bits
+    bits = np.stack([np.add.reduceat(zigzag >> np.repeat(n, psize), pfirst) + n * pcount for n in near])
+    rice = np.choose(bits.argmin(axis=0), near)
     k = np.repeat(rice, psize)
     length = np.where(coded, (zigzag >> k) + 1 + k, 0)
 
