@@ -30,7 +30,7 @@ def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a FLAC stream in a written table, read back and decoded for sizes, digests and features."""
-    options = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
+    options = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
     return flac.features(Tables(spark, "media").write(flac.to_media(_documents(spark, sf_dir)), "media", **options))
 
 
