@@ -20,10 +20,31 @@ def grouped_number(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
-def cost(usd: Column) -> Column:
-    """Dollars: four decimals below a cent, else two; Free for nothing, Unknown for null."""
-    small, usual = F.format_string("$%.4f", usd), F.format_string("$%.2f", usd)
-    return F.when(usd.isNull(), "Unknown").when(usd == 0, "Free").when(usd < 0.01, small).otherwise(usual)
+def fixed(number: Column, digits: int) -> Column:
+    """A number with that many decimals, rounded by its exact binary value and half to even, as C and Python do.
+
+    format_string rounds the shortest decimal half up, so 0.01855, a little less in
+    binary, would gain. The product with 10 ** digits is taken exactly, as a sum of
+    two doubles; from 2 ** 53 of its units on, format_string stays.
+    """
+    unit = 10**digits
+    size = F.abs(number)
+    near = size * float(unit)
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    rest = (high * float(unit) - near) + (size - high) * float(unit)
+    whole = F.floor(near)
+    part = near - whole
+    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (whole % 2 == 1))))
+    n = whole + up.cast("long")
+    text = F.concat(F.when(number < 0, "-").otherwise(""), ((n - n % unit) / unit).cast("long").cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), digits, "0"))
+    return F.when(near < 2.0**53, text).otherwise(F.format_string(f"%.{digits}f", number))
+
+
+def cost(usd: Column, fine: Column | None = None) -> Column:
+    """Dollars: four decimals below a cent (or where fine is true, if given), else two; Free for nothing, Unknown for null."""
+    usd = usd.cast("double")
+    small, usual = F.concat(F.lit("$"), fixed(usd, 4)), F.concat(F.lit("$"), fixed(usd, 2))
+    return F.when(usd.isNull(), "Unknown").when(usd == 0, "Free").when(usd < 0.01 if fine is None else fine, small).otherwise(usual)
 
 
 def redacted(headers: Column) -> Column:

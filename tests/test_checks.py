@@ -28,6 +28,29 @@ def test_wording(spark):
     assert got["m"] == {"Authorization": "Bear*********", "api-key": "****", "Accept": "x"} and got["n"] == {}
 
 
+def test_numbers_are_rounded_by_their_exact_value(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [0.01855, 0.05565, 0.03125, 0.09375, 0.125, 2.675, 1.005, -0.00001, -0.03125, 0.00005, 9.99995, 0.99999, 123456.785, 1e11 + 0.125, 4503599627.12345]
+    rows += [k * 0.00000371 for k in range(5_000, 1_200_000, 10_000)] + [rng.randrange(10**9) / 10**5 for _ in range(500)] + [rng.random() * 10 ** rng.randrange(-6, 9) for _ in range(500)]
+    for digits in (2, 4):
+        assert values(spark, rows, lambda c, n=digits: D.fixed(c, n), "x double") == [f"{x:.{digits}f}" for x in rows]
+
+
+def test_costs_of_large_keys_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from corpuscle.plans import catalog
+    from tests.oracle import compare
+
+    rows = spark.range(2_000).selectExpr("id as l_orderkey", "int(id % 7 + 1) as l_linenumber", "id * 1000 as l_partkey")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert compare(catalog.QUERIES["display_costs"](spark, str(tmp_path)), con, catalog.SQL["display_costs"]) == 2_000
+
+
 def test_names_and_terms(spark):
     assert values(spark, ["The Guards", "Staff Sergeant Ned", "Alpha Company RTO", "Company RTO", "", "the old"], K.group_descriptor) == [True, False, True, False, False, False]
     assert values(spark, ["New York", "mi chica", "12", "Hue 3"], K.title_case_tokens) == [True, False, False, True]
