@@ -250,7 +250,7 @@ def extensions(tables: Tables, docs: DataFrame, spans: DataFrame, context: int)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "side", "edge", "of", "place"])
 
     edges = tables.write(spans.select("doc_id", "_spans").mapInArrow(run, "doc_id long, side long, edge long, of long, place long"), "edges")
-    asked = edges.select("of", "side", "place").distinct().groupBy(F.col("of").alias("doc_id")).agg(F.collect_list(F.struct("side", "place")).alias("asked"))
+    asked = edges.groupBy(F.col("of").alias("doc_id")).agg(F.collect_set(F.struct("side", "place")).alias("asked"))
     held = docs.join(asked, "doc_id").select("doc_id", "text", "asked")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

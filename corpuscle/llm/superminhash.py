@@ -189,7 +189,7 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     again = some.select("key", F.col("id").alias("a")).join(centre, "key").where("a <> b").select("a", "b").distinct()
     again = again.join(checked.select("a", "b"), ["a", "b"], "left_anti")
     edges = checked.unionByName(tables.write(verified(again, sets), "checked-again")).where(link).select("a", "b")
-    groups = tables.write(components(tables, edges, "cc0-"), "groups0")
+    groups = components(tables, edges, "cc0-")
 
     # members of a centre that can be linked with another member of it: distances differ by cut at most
     near = checked.withColumn("d", 1 - F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both")))
@@ -225,7 +225,7 @@ def grouped(tables: Tables, items: DataFrame, sets_of: Callable[[DataFrame], Dat
     more = tables.write(verified(todo, sets), "more").where(link).select("a", "b")
     if more.limit(1).count():
         edges = groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-        groups = tables.write(components(tables, edges, "cc1-"), "groups1")
+        groups = components(tables, edges, "cc1-")
     for name in ("members", "centres", "stars", "loose", "loose-members", "second-centres", "checked", "checked-again", "cells", "sets", "apart", "usual", "tokens", "more"):
         tables.drop(name)
     return groups
@@ -247,9 +247,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, miss: float
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = tables.write(signature_table(docs, n, bands, rows), "signatures")
     own = sig.where("n_shingles > 0 and doc_id is not null")
-    one = tables.write(own.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min("doc_id").alias("id")), "one")
-    items = own.join(one.withColumnRenamed("id", "doc_id"), ["set_lo", "set_hi", "n_shingles", "doc_id"], "left_semi")
-    items = items.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "bands")
+    one = tables.write(own.groupBy("set_lo", "set_hi", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "one")  # equal sets have equal bands
+    items = tables.write(one.select("id", "n_shingles", "bands").dropDuplicates(["id"]), "items")  # read twice
     groups = grouped(tables, items, lambda ids: set_table(docs.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), n), percent)
     whole = one.join(groups, "id", "left").select("set_lo", "set_hi", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_lo", "set_hi").join(whole, ["set_lo", "set_hi", "n_shingles"], "left")

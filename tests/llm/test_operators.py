@@ -374,6 +374,20 @@ def test_components_equal_union_find(spark):
     assert got == {x: find(x) for x in linked}
 
 
+@pytest.mark.parametrize(("pairs", "writes"), [([], 2), ([(9, 2), (2, 9), (7, 2), (2, 7), (4, 4), (8, 3)], 2), ([(1, 2), (2, 3), (3, 4)], 10)])
+def test_components_spend_no_round_on_settled_edges(spark, monkeypatch, pairs, writes):
+    """Two tables say that stars are settled, where two rounds of four tables did; repeated and reversed edges change nothing."""
+    names, original = [], Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, df, name, **options: names.append(name) or original(self, df, name, **options))
+    got = {r["id"]: r["component"] for r in components(Tables(spark, "cc"), spark.createDataFrame(pairs, "a long, b long")).collect()}
+    least = {x: x for pair in pairs for x in pair if pair[0] != pair[1]}
+    for _ in least:
+        for x, y in pairs:
+            if x != y:
+                least[x] = least[y] = min(least[x], least[y])
+    assert got == least and len(names) <= writes
+
+
 # 7. repeated strings
 
 
